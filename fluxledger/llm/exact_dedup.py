@@ -3,8 +3,8 @@
 Documents are landed as narrow rows (digest, stable id, content locator, length) and streamed
 through a keyed aggregation whose state lies in RocksDB on disk and never expires. State per
 digest: how many rows carry it, the largest id and that row's locator. Hits are then checked on
-full bytes: for every digest the smallest and the largest normalised text must be identical,
-which a map-side minimum/maximum decides without gathering a group of copies anywhere.
+full bytes: distinct pairs of digest and whole normalised text, collapsed map-side so that no group
+of copies is gathered anywhere, must be one per digest.
 Digests that fail the check (possible with a weak `digest`, never seen with SHA-256) are grouped
 again by digest and full text.
 
@@ -23,6 +23,8 @@ from .common import ascii_lower, drop_written, load, scratch_path, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a partition's store is closed when its task ends, so open stores follow the cores, not the partitions
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
@@ -84,8 +86,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # one pass over the texts lands the narrow rows; the locator says where the content is
     landed = written(rows.select("digest", "id", "sha", F.concat(F.lit("id="), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(";bytes="), F.octet_length("norm")).alias("locator")), "dedup-landed")
     state = stream_state(landed.select("digest", "id", "sha", "locator"), checkpoint)
-    # full bytes on hits, without gathering a group: equal minimum and maximum mean equal texts
-    odd = written(rows.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("digest"), "dedup-odd")
+    # full bytes on hits: copies collapse map-side, and a digest left with two texts is no match
+    odd = written(rows.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-odd")
     result = landed.join(state, "digest", "left")
     if not odd.isEmpty():
         again = rows.join(odd, "digest", "left_semi")
