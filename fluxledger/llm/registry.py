@@ -1,15 +1,18 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import chat_format, exact_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, mixing, url_filter
 
 QUERIES = {
+    "op5_mix": mixing.op5_mix,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
     "op6_chat_format": chat_format.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
