@@ -1,12 +1,14 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import chat_format, decontaminate, exact_dedup, mixing, url_filter
+from . import chat_format, decontaminate, exact_dedup, langid, mixing, ngram_join, url_filter
 
 QUERIES = {
+    "op2_language": langid.op2_language,
     "op5_mix": mixing.op5_mix,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
