@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """A bool array of `size` (a fixed bound, at most 8192 * 8192) that is true at every value of the int column `bit`.
+
+    Made for broadcasting as a filter before an exact join: it may let too much pass, never too little.
+    """
+    out = np.zeros(size, bool)
+    parts = bits.select("bit").distinct().groupBy(F.floor(F.col("bit") / 8192)).agg(F.collect_list("bit").alias("bits"))
+    for r in parts.toLocalIterator():
+        out[r["bits"]] = True
+    return out
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) as (id, component), component being the smallest id in reach.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, load, written
+from .common import bitmap, components, drop_written, load, written
 from .shingles import shingle_sets
 
 K = 3
@@ -243,10 +243,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = members.select("cls").distinct()
     ids = classes.join(wanted, "cls", "left_semi").select("digest", "cls", "first_id")
     bit = F.pmod(F.xxhash64("first_id"), F.lit(BITMAP)).cast("int")
-    bitmap = np.zeros(BITMAP, bool)
-    for r in ids.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 8192)).agg(F.collect_list("bit").alias("bits")).toLocalIterator():
-        bitmap[r["bits"]] = True
-    bitmap_b = spark.sparkContext.broadcast(bitmap)
+    bits = bitmap(ids.select(bit.alias("bit")), BITMAP)
+    bitmap_b = spark.sparkContext.broadcast(bits)
     sets = texts.select("text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int").alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
     sets = written(sets.join(ids, "digest").groupBy("cls").agg(F.first("tokens").alias("tokens")), "ngram-sets")
 

@@ -1,9 +1,10 @@
 """Queries and oracle SQL of this subpackage."""
 
-from . import chat_format, decontaminate, exact_dedup, langid, mixing, ngram_join, url_filter
+from . import chat_format, decontaminate, exact_dedup, langid, mixing, ngram_join, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_language": langid.op2_language,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mix": mixing.op5_mix,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_decontaminate": decontaminate.op7_decontaminate,
