@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree (operator 5).
 
-Words of a source are laid end to end in (id, size) order and cut into blocks of `block_words`.
+Words of a source are laid end to end in (id, size, text hash) order and cut into blocks of `block_words`.
 A source's target is turned into an exact number of block draws, at most `max_repeats` per block:
 whole epochs plus the first part of one more permuted epoch, so its words come within a block of
 the target. A binary tree over the output shards splits the vector of draws: each node gives its
@@ -102,16 +102,16 @@ def shard_quotas(draws: np.ndarray, shard: int, shards: int, seed: int) -> tuple
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with size and first word number within their source, sources with size and order)."""
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("th"))
     # a range per task cuts a hot source into many; places follow from sums per range
-    ranged = written(sizes.repartitionByRange("source", "id", "size").withColumn("range", F.spark_partition_id()), "mix-sizes")
+    ranged = written(sizes.repartitionByRange("source", "id", "size", "th").withColumn("range", F.spark_partition_id()), "mix-sizes")
     part = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))).drop("in_range")
-    within = Window.partitionBy("source", "range").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
     on = local["source"].eqNullSafe(part["source"]) & (local["range"] == part["range"])
-    placed = local.join(part, on).select("id", local["source"], "size", (F.col("before") + F.col("local")).alias("first_word"))
+    placed = local.join(part, on).select("id", local["source"], "size", "th", (F.col("before") + F.col("local")).alias("first_word"))
     return placed, ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
@@ -182,16 +182,16 @@ def mix(placed: DataFrame, plan: DataFrame, shards: int | None = None, block_wor
 
 
 def mixed_sizes(docs: DataFrame, **names: str) -> DataFrame:
-    """id, source, size, source_size, target, taken for every document."""
+    """id, source, size, source_size, target, taken and th (a hash of the text) for every document."""
     placed, sources = measured(docs, **names)
     plan = plan_sources(sources)
     taken = mix(placed, plan).groupBy("id", "source_no", "first_word").agg(F.sum("piece_words").alias("taken"))
     p, small = plan.select("source", "source_no", "source_size", "target"), plan.count() <= 10_000
-    rows = placed.join(F.broadcast(p) if small else p, placed["source"].eqNullSafe(p["source"])).select("id", placed["source"], "source_no", "size", "first_word", "source_size", "target")
+    rows = placed.join(F.broadcast(p) if small else p, placed["source"].eqNullSafe(p["source"])).select("id", placed["source"], "source_no", "size", "th", "first_word", "source_size", "target")
     t = taken.withColumnRenamed("id", "t_id").withColumnRenamed("source_no", "t_no").withColumnRenamed("first_word", "t_first")
     on = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("source_no") == F.col("t_no")) & (F.col("first_word") == F.col("t_first")) & (F.col("size") > 0)
-    return rows.join(t, on, "left").select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(t, on, "left").select("id", "source", "size", "th", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_sizes(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("source")
+    return mixed_sizes(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("source", "th")
