@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-DIMS = 1 << 13
+DIMS = 1 << 12
 #: Families of closely related languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"],
@@ -53,7 +53,7 @@ def features(raw: bytes) -> np.ndarray:
         three = (two[:-1] << np.uint32(8)) | x[2:]
         # a piece owns the n-grams that start in it
         for grams, salt in ((two[:_PIECE], 0x9E3779B1), (three[:_PIECE], 0x85EBCA77)):
-            counts += np.bincount((grams * np.uint32(salt)) >> np.uint32(19), minlength=DIMS)
+            counts += np.bincount((grams * np.uint32(salt)) >> np.uint32(20), minlength=DIMS)
     return counts / max(1, counts.sum())
 
 
@@ -66,12 +66,14 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge, L2) by accelerated full-batch gradient steps; classes weigh the same. y is +-1."""
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    w, b, pw, pb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    lam = 1e-3
-    step = 1.0 / (lam + 2 * float((weight * ((x * x).sum(1) + 1)).sum()))
+    weight = weight.astype(np.float32)
+    w, b, pw, pb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
+    lam = np.float32(1e-3)
+    step = np.float32(1.0 / (lam + 2 * float(weight @ (np.einsum("ij,ij->i", x, x) + 1))))
     for t in range(1, rounds + 1):
-        m = (t - 1) / (t + 2)
+        m = np.float32((t - 1) / (t + 2))
         vw, vb = w + m * (w - pw), b + m * (b - pb)
         slack = np.maximum(0, 1 - y * (x @ vw + vb)) * weight * y
         pw, pb = w, b
@@ -87,7 +89,7 @@ class Model:
         fam = sorted({family_of(v) for v in self.langs})
         self.families = [[i for i, v in enumerate(self.langs) if family_of(v) == f] for f in fam]
         mean, sd = x.mean(0), x.std(0) + 1e-5
-        z = (x - mean) / sd / np.sqrt(x.shape[1])
+        z = ((x - mean) / (sd * np.float32(np.sqrt(x.shape[1])))).astype(np.float32)
         columns: list[tuple[np.ndarray, float]] = []
         if len(fam) > 1:
             for members in self.families:
@@ -121,7 +123,7 @@ class Model:
         return self.langs[win], float(min(1.0, max(0.0, sure * inner)))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training_docs: int = 4000) -> Model | None:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training_docs: int = 2000) -> Model | None:
     """Fits on about `max_training_docs` rows, equally many for each language, chosen by a hash of the id."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("train"), id_col).alias("h")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}

@@ -8,13 +8,13 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
    (`SKETCH` counters), then the hash. Any order gives right results; a good one keeps groups small.
 3. Classes that reach the threshold share a shingle among the first n - ceil(p * n) + 1 of each
    (the prefix). Prefix shingles held by several classes make groups.
-4. Per group every class is paired with up to three pivots. Pairs are verified by prefix trees:
-   the sets of one probe's partners, in the global order, are walked as a trie, where a shared
-   path's overlap is counted once and a subtree is left when overlap plus the remaining lengths
-   cannot reach the threshold.
+4. Per group every class is paired with up to three pivots. Pairs that pass the length bound and
+   the bound from shared prefix shingles are verified by prefix trees: the sets of one probe's
+   partners, in the global order, are walked as a trie, where a shared path's overlap is counted
+   once and a subtree is left when overlap plus the remaining lengths cannot reach the threshold.
 5. Groups whose classes are not yet in one component give all further pairs across components that
-   pass the length and position bounds, and these are verified in the same way. So no link between
-   components is missed, and no group is expanded into all its pairs.
+   pass the same bounds, and these are verified in the same way. So no link between components is
+   missed, and no group is expanded into all its pairs.
 
 Probes with many partners are dealt out in chunks; sets of partners move once per pair, texts are
 not shuffled. Broadcast: the sketch (16 MB) and a bitmap of candidate documents (1 MB), both of
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, drop_written, load, written
@@ -219,6 +219,40 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, counts_b) -> DataFr
     return rows.mapInArrow(_verified(percent, counts_b), "a long, b long")
 
 
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Least intersection of two sets of these sizes that link."""
+    return F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+
+
+def _near(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _likely(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) of rows per shared prefix shingle whose overlap can still reach the threshold.
+
+    With c shared shingles up to places i and j of the two orders, the overlap is at most
+    c + min(n - i - 1, m - j - 1).
+    """
+    pairs = shared.groupBy("probe", "cls").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("ypos").alias("j"), F.max("n").alias("n"), F.max("yn").alias("m"))
+    bound = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    return pairs.where(_near(F.col("n"), F.col("m"), percent) & (bound >= _needed(F.col("n"), F.col("m"), percent)))
+
+
+def _links_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
+    """Verified links among pairs (probe, cls), and scratch tables to drop; only the sets of paired classes are made."""
+    spark = texts.sparkSession
+    wanted = pairs.select("cls").union(pairs.select("probe")).distinct()
+    ids = written(classes.join(wanted, "cls", "left_semi").select("digest", "cls", "first_id"), "ngram-ids")
+    bits = bitmap(ids.select(F.pmod(F.xxhash64("first_id"), F.lit(BITMAP)).cast("int").alias("bit")), BITMAP)
+    bitmap_b = spark.sparkContext.broadcast(bits)
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
+    sets = texts.select("text", bit.alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
+    sets = written(sets.join(ids, "digest").groupBy("digest", "cls").agg(F.first("tokens").alias("tokens")).select("cls", "tokens"), "ngram-sets")
+    links = written(_verify(pairs, sets, percent, counts_b), "ngram-links")
+    return links, [ids, sets]
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for every row of `docs`."""
     spark = docs.sparkSession
@@ -240,35 +274,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(index.join(groups.select("token", *[F.col(f"p{i}").bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)]), "token"), "ngram-members")
     drop_written(index)
 
-    wanted = members.select("cls").distinct()
-    ids = classes.join(wanted, "cls", "left_semi").select("digest", "cls", "first_id")
-    bit = F.pmod(F.xxhash64("first_id"), F.lit(BITMAP)).cast("int")
-    bits = bitmap(ids.select(bit.alias("bit")), BITMAP)
-    bitmap_b = spark.sparkContext.broadcast(bits)
-    sets = texts.select("text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int").alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
-    sets = written(sets.join(ids, "digest").groupBy("cls").agg(F.first("tokens").alias("tokens")), "ngram-sets")
-
-    star = members.select("cls", F.explode(F.array(*[f"p{i}" for i in range(len(_MASKS))])).alias("probe")).where("cls <> probe").distinct()
-    star = written(star, "ngram-star")
-    links = written(_verify(star, sets, percent, counts_b), "ngram-links")
+    # pivot pairs; shared prefix shingles and their places bound the overlap, so only likely pairs are verified
+    ours = members.select("token", "cls", "n", "pos", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))]))).alias("probe")).where("cls <> probe")
+    theirs = members.select("token", F.col("cls").alias("probe"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
+    star = written(_likely(ours.join(theirs, ["token", "probe"]), percent).select("probe", "cls"), "ngram-star")
+    links, tables = _links_of(texts, classes, star, k, percent, counts_b)
+    drop_written(*tables)
     comp = components(links)
 
     held = members.select("token", "cls", "n", "pos").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     held = written(held, "ngram-held")
     mixed_groups = held.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main <> other").select("token", "main")
     open_rows = written(held.join(mixed_groups, "token"), "ngram-open")
+    drop_written(members, held)
     x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
-    rest = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (rest >= need)
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.comp") != F.col("y.comp")) & close)
-    cross = cross.select(F.greatest("x.cls", "y.cls").alias("probe"), F.least("x.cls", "y.cls").alias("cls")).distinct()
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = _near(F.col("x.n"), F.col("y.n"), percent) & (rest >= _needed(F.col("x.n"), F.col("y.n"), percent))
+    cross = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.comp") != F.col("y.comp")) & once & near)
+    swap = F.col("x.cls") < F.col("y.cls")
+    flip = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
+    (probe, cls), (yn, n), (ypos, pos) = flip("cls"), flip("n"), flip("pos")
+    cross = _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent)
     seen = star.select(F.greatest("probe", "cls").alias("probe"), F.least("probe", "cls").alias("cls")).distinct()
-    cross = written(cross.join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
+    cross = written(cross.select("probe", "cls").join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
     if not cross.isEmpty():
-        more = written(_verify(cross, sets, percent, counts_b), "ngram-links2")
+        more, tables = _links_of(texts, classes, cross, k, percent, counts_b)
         comp = components(links.unionByName(more))
-    drop_written(members, held, open_rows, sets, star, cross)
+        drop_written(*tables, more)
+    drop_written(open_rows, star, cross, links)
 
     named = classes.join(comp, F.col("cls") == F.col("id"), "left").select("digest", F.coalesce("component", "cls").alias("component"), "first_id")
     named = written(named, "ngram-named")

@@ -110,7 +110,7 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, int]]
         yield raw, words[a:b], votes(np.frombuffer(raw, np.uint8), words[a:b])
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training_docs: int = 4000, threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training_docs: int = 2000, threshold: float = 0.5) -> DataFrame:
     """id, votes, posterior, score and kept for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -142,7 +142,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         p = np.array([r["p"] for r in got])
         mean, sd = x.mean(0), x.std(0) + 1e-5
         scale = sd * np.sqrt(x.shape[1])
-        w, b = svm((x - mean) / scale, np.where(p >= 0.5, 1.0, -1.0))
+        w, b = svm(((x - mean) / scale).astype(np.float32), np.where(p >= 0.5, 1.0, -1.0))
         w, b = w / scale, b - float((w / scale) @ mean)
     elif good:
         b = 1.0

@@ -13,7 +13,8 @@ have a match are compared at all:
 2. Runs whose whole context occurs again are matched as they are (counted with map-side
    combination, so a group of copies is never gathered).
 3. Runs that share an anchor but differ in context (the edges of shared passages) are opened into
-   their single suffixes, one run per distinct context. In the order of their `min_len`-byte
+   their single suffixes, one run per distinct context, inside a task per anchor; anchors with more
+   than `task_contexts` contexts are opened into rows instead and grouped by prefix. In the order of their `min_len`-byte
    prefixes, ties by position, the previous smaller position of a suffix is an earlier match of at
    least `min_len` and the next one a later match: longest previous and next factors reach
    `min_len` exactly where such a neighbour of equal prefix exists.
@@ -41,6 +42,7 @@ MIN_LEN = 400
 GRAM = 100
 PIECE = 1 << 20
 BITMAP = 1 << 23
+TASK_CONTEXTS = 4096
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,6 @@ def _anchor_rows(min_len: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _bytes_of(batch.column("text"))
-            ids, th = batch.column("id"), batch.column("th")
             # pieces (text, first byte, last byte): texts over PIECE are cut, with windows assigned by their start
             pieces = [(i, s, min(b, s + PIECE + min_len - 1)) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) if b - a >= min_len for s in range(a, b - min_len + 1, PIECE)]
             pack, size = [], 0
@@ -118,38 +119,106 @@ def _anchor_rows(min_len: int, gram: int):
                     text, lo, hi, key, context = anchors(joined, begin, begin + e - s, min_len, gram)
                     shift = (s - begin - offsets[who])[text]
                     take = pa.array(who[text])
-                    yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), pa.array((lo + shift).astype(np.int64)), pa.array((hi + shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["id", "th", "lo", "hi", "key", "context"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "rk", "th")), pa.array((lo + shift).astype(np.int64)), pa.array((hi + shift).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["id", "rk", "th", "lo", "hi", "key", "context"])
                     pack, size = [], 0
 
     return run
 
 
-def _suffix_rows(min_len: int):
-    """Opens marked runs: one row per suffix with the fingerprint of its first min_len bytes."""
+def _context_rows(min_len: int):
+    """Cuts the marked runs out of their texts: one row per run with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _bytes_of(batch.column("text"))
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
+            who, keys, los, raws = [], [], [], []
 
             def flush() -> pa.RecordBatch:
-                take = pa.array(np.concatenate([np.full(len(p), i) for i, p, _ in out]))
-                return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), pa.array(np.concatenate([p for _, p, _ in out])), pa.array(np.concatenate([h for _, _, h in out]).view(np.int64))], ["id", "th", "pos", "h"])
+                take = pa.array(who, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(batch.column(c).take(take) for c in ("id", "rk", "th")), pa.array(los, pa.int64()), pa.array(raws, pa.binary())], ["key", "id", "rk", "th", "lo", "raw"])
 
             for i, marks in enumerate(batch.column("marks").to_pylist()):
                 for m in marks:
-                    lo, hi = m["lo"], m["hi"]
-                    raw = data[offsets[i] + lo : offsets[i] + hi + min_len]
-                    sums, inverse = _sums(raw)
-                    a = np.arange(hi - lo + 1)
-                    out.append((i, a + lo, _range_hash(sums, inverse, a, a + min_len)))
-                    size += len(a)
-                    if size > 200_000:
-                        yield flush()
-                        out, size = [], 0
-            if out:
-                yield flush()
+                    who.append(i)
+                    keys.append(m["key"])
+                    los.append(m["lo"])
+                    raws.append(data[offsets[i] + m["lo"] : offsets[i] + m["hi"] + min_len].tobytes())
+                if len(who) > 5000:
+                    yield flush()
+                    who, keys, los, raws = [], [], [], []
+            yield flush()
+
+    return run
+
+
+def _suffixes(raw: bytes, min_len: int) -> np.ndarray:
+    """Fingerprints of the first min_len bytes of every suffix of a run."""
+    data = np.frombuffer(raw, np.uint8)
+    sums, inverse = _sums(data)
+    a = np.arange(len(data) - min_len + 1)
+    return _range_hash(sums, inverse, a, a + min_len)
+
+
+def previous_and_next(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes given in text order: whether an earlier and whether a later one has the same prefix.
+
+    In suffix order (by prefix, ties by place) these are the previous and the next smaller position
+    whose common prefix reaches the length that the fingerprints stand for.
+    """
+    order = np.argsort(prints, kind="stable")
+    same = prints[order][1:] == prints[order][:-1]
+    earlier, later = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
+    earlier[order[1:]] = same
+    later[order[:-1]] = same
+    return earlier, later
+
+
+def _matched_runs(min_len: int, keep: str):
+    """Contexts sorted by (key, place) to the runs of suffixes that have a match under the same anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        windows, last = 0, None
+
+        def flush() -> pa.RecordBatch:
+            prints = [_suffixes(raw, min_len) for *_, raw in held]
+            sizes = np.array([len(p) for p in prints], np.int64)
+            earlier, later = previous_and_next(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
+            hit = earlier if keep == "first" else earlier | later
+            row = np.repeat(np.arange(len(held)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            idx = np.flatnonzero(hit)
+            cut = np.flatnonzero((np.diff(idx) != 1) | (np.diff(row[idx]) != 0)) + 1 if len(idx) else np.zeros(0, np.int64)
+            first, end = idx[np.concatenate([[0], cut]).astype(np.int64)] if len(idx) else idx, idx[np.concatenate([cut, [len(idx)]]).astype(np.int64) - 1] if len(idx) else idx
+            base = np.array([h[2] for h in held], np.int64)
+            who = row[first]
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in who], pa.int64()), pa.array([held[i][1] for i in who], pa.int64()), pa.array(base[who] + at[first] if len(who) else [], pa.int64()), pa.array(base[who] + at[end] if len(who) else [], pa.int64())], ["rk", "th", "lo", "hi"])
+
+        for batch in batches:
+            for key, rk, th, lo, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "rk", "th", "lo", "raw"))):
+                if key != last and windows > 200_000:  # whole groups only; equal prefixes share their anchor
+                    yield flush()
+                    held, windows = [], 0
+                held.append((rk, th, lo, raw))
+                windows += len(raw) - min_len + 1
+                last = key
+        yield flush()
+
+    return run
+
+
+def _suffix_rows(min_len: int):
+    """Contexts to one row per suffix, for anchors with too many contexts for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column("raw").to_pylist()
+            for a in range(0, len(raws), 1000):
+                prints = [_suffixes(raw, min_len) for raw in raws[a : a + 1000]]
+                sizes = np.array([len(p) for p in prints], np.int64)
+                take = pa.array(np.repeat(np.arange(a, a + len(prints)), sizes))
+                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "rk", "th")), pa.array(batch.column("lo").to_numpy()[a : a + len(prints)].repeat(sizes) + at), pa.array(np.concatenate(prints).view(np.int64))], ["id", "rk", "th", "pos", "h"])
 
     return run
 
@@ -159,79 +228,82 @@ def _cut(min_len: int, with_bytes: bool):
         for batch in batches:
             data, offsets = _bytes_of(batch.column("text"))
             removed, spans, digests, kept = [], [], [], []
-            for i, (runs, single) in enumerate(zip(batch.column("runs"), batch.column("singles"))):
+            for i, runs in enumerate(batch.column("runs")):
                 raw = data[offsets[i] : offsets[i + 1]]
-                r = runs.values
-                lo = np.concatenate([x for x in (r.field("lo").to_numpy() if r is not None else None, single.values.to_numpy() if single.values is not None else None) if x is not None] or [np.zeros(0, np.int64)])
-                hi = np.concatenate([x for x in (r.field("hi").to_numpy() if r is not None else None, single.values.to_numpy() if single.values is not None else None) if x is not None] or [np.zeros(0, np.int64)])
                 change = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(change, lo, 1)
-                np.add.at(change, hi + min_len, -1)
+                np.add.at(change, runs.values.field("lo").to_numpy(), 1)
+                np.add.at(change, runs.values.field("hi").to_numpy() + min_len, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
                 rest = raw[~gone].tobytes()
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest if with_bytes else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["id", "th", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["rk", "th", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, gram: int = GRAM, keep: str = "first", with_bytes: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if with_bytes) for every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, gram: int = GRAM, keep: str = "first", with_bytes: bool = False, task_contexts: int = TASK_CONTEXTS) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, if with_bytes) for every row.
+
+    `task_contexts`: anchors with more distinct contexts are matched by grouping single suffixes
+    instead of inside one task; the results are the same.
+    """
     if keep not in ("first", "none") or not 1 <= gram <= min_len <= 4096:
         raise ValueError("keep is first or none, and 1 <= gram <= min_len <= 4096")
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("th", F.xxhash64("text"))
-    long_texts = texts.where(F.octet_length("text") >= min_len).select("id", "th", "text")
-    found = written(long_texts.mapInArrow(_anchor_rows(min_len, gram), f"id {id_type}, th long, lo long, hi long, key long, context long"), "lpf-anchors")
+    # rows are known by two hashes, of the text and of id and text: rows equal in both are equal rows
+    texts = texts.withColumns({"rk": F.xxhash64(F.lit("row"), "id", "text"), "th": F.xxhash64("text")})
+    long_texts = texts.where(F.octet_length("text") >= min_len).select("id", "rk", "th", "text")
+    found = written(long_texts.mapInArrow(_anchor_rows(min_len, gram), f"id {id_type}, rk long, th long, lo long, hi long, key long, context long"), "lpf-anchors")
     again = found.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key")
     shared = written(found.join(again, "key"), "lpf-shared")
     drop_written(found)
-    place = F.struct("id", "th", "lo", "hi")
+    place = F.struct("id", "th", "rk", "lo", "hi")
     kinds = written(shared.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "lpf-kinds")
 
     runs = shared.join(kinds.where("copies > 1"), ["key", "context"])
     if keep == "first":
-        runs = runs.where(F.struct("id", "th", "lo") > F.struct("first.id", "first.th", "first.lo"))
-    runs = runs.select("id", "th", "lo", "hi")
+        runs = runs.where(F.struct("id", "th", "rk", "lo") > F.struct("first.id", "first.th", "first.rk", "first.lo"))
+    runs = runs.select("rk", "th", "lo", "hi")
 
-    bit = F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP)).cast("int")
+    bit = F.pmod("rk", F.lit(BITMAP)).cast("int")
 
     def affected(marked: DataFrame) -> DataFrame:
-        """The texts of marked (id, th), nearly only these: others are dropped by bitmap before any shuffle."""
+        """The texts of marked (rk, th), nearly only these: others are dropped by bitmap before any shuffle."""
         bits_b = spark.sparkContext.broadcast(bitmap(marked.select(bit.alias("bit")), BITMAP))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(bits_b.value[batch.column("bit").to_numpy(zero_copy_only=False)])).drop_columns(["bit"])
 
-        return long_texts.withColumn("bit", bit).mapInArrow(run, f"id {id_type}, th long, text string").dropDuplicates(["id", "th"])
-
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.withColumnsRenamed({"id": "b_id", "th": "b_th"})
-        return a.join(b, a["id"].eqNullSafe(b["b_id"]) & (a["th"] == b["b_th"])).drop("b_id", "b_th")
-
-    mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    marks = kinds.join(mixed_keys, "key").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.lo", "first.hi")).alias("marks"))
-    marks = written(marks, "lpf-marks")
-    suffixes = written(joined(affected(marks), marks).mapInArrow(_suffix_rows(min_len), f"id {id_type}, th long, pos long, h long"), "lpf-suffixes")
-    classes = suffixes.groupBy("h").agg(F.count("*").alias("n"), *([F.min(F.struct("id", "th", "pos")).alias("least")] if keep == "first" else [])).where("n > 1")
-    matched = suffixes.join(classes, "h")
-    if keep == "first":
-        matched = matched.where(F.struct("id", "th", "pos") > F.col("least"))
-    singles = matched.groupBy("id", "th").agg(F.collect_list("pos").alias("singles"))
-    spans = runs.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    cover = spans.unionByName(singles, allowMissingColumns=True).groupBy("id", "th").agg(F.first("runs", ignorenulls=True).alias("runs"), F.first("singles", ignorenulls=True).alias("singles"))
-    cover = written(cover.select("id", "th", F.coalesce("runs", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("runs"), F.coalesce("singles", F.expr("cast(array() as array<bigint>)")).alias("singles")), "lpf-cover")
-    drop_written(shared, suffixes, marks)
-    cuts = joined(affected(cover), cover).mapInArrow(_cut(min_len, with_bytes), f"id {id_type}, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cuts = cuts.withColumnsRenamed({"id": "c_id", "th": "c_th"})
-    base = texts.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text").cast("binary").alias("raw")] if with_bytes else []))
-    out = base.join(cuts, base["id"].eqNullSafe(cuts["c_id"]) & (base["th"] == cuts["c_th"]), "left")
+        near = long_texts.withColumn("bit", bit).mapInArrow(run, f"id {id_type}, rk long, th long, text string")
+        return near.join(marked, ["rk", "th"]).dropDuplicates(["rk", "th"])
+
+    mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    opened = kinds.join(mixed_keys, "key").select("key", "kinds", F.col("first.rk").alias("rk"), F.col("first.th").alias("th"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))
+    marks = written(opened.groupBy("rk", "th").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("marks")), "lpf-marks")
+    contexts = affected(marks).mapInArrow(_context_rows(min_len), f"key long, id {id_type}, rk long, th long, lo long, raw binary")
+    crowded = written(mixed_keys.where(F.col("kinds") > task_contexts).select("key"), "lpf-crowded")
+    alone = crowded.isEmpty()
+    contexts = contexts if alone else written(contexts, "lpf-contexts")
+    few = contexts if alone else contexts.join(crowded, "key", "left_anti")
+    matched = few.repartition("key").sortWithinPartitions("key", "id", "th", "rk", "lo").mapInArrow(_matched_runs(min_len, keep), "rk long, th long, lo long, hi long")
+    if not alone:
+        suffixes = written(contexts.join(crowded, "key", "left_semi").mapInArrow(_suffix_rows(min_len), f"id {id_type}, rk long, th long, pos long, h long"), "lpf-suffixes")
+        least = [F.min(F.struct("id", "th", "rk", "pos")).alias("least")] if keep == "first" else []
+        hits = suffixes.join(suffixes.groupBy("h").agg(F.count("*").alias("n"), *least).where("n > 1"), "h")
+        if keep == "first":
+            hits = hits.where(F.struct("id", "th", "rk", "pos") > F.col("least"))
+        matched = matched.unionByName(hits.select("rk", "th", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
+    cover = written(runs.unionByName(matched).groupBy("rk", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "lpf-cover")
+    drop_written(shared, kinds, marks)
+    cuts = affected(cover).mapInArrow(_cut(min_len, with_bytes), "rk long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    base = texts.select("id", "rk", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text").cast("binary").alias("raw")] if with_bytes else []))
+    out = base.join(cuts, ["rk", "th"], "left")
     zero = F.lit(0).cast("long")
     return out.select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *([F.coalesce("kept", "raw").alias("kept")] if with_bytes else []))
 

@@ -4,10 +4,11 @@ Writing: a payload goes into an HTTP response in chunked transfer framing; block
 `segment_bytes` are split into a first record (WARC-Segment-Number 1) and continuation records
 that name it (WARC-Segment-Origin-ID), the last one with WARC-Segment-Total-Length. Of equal
 payloads of at least `revisit_bytes` the one with the largest id is the response and the others
-are revisits of it; equality is by length, SHA-1 and SHA-256. Files are plain WARC, written by
-Spark's text writer, which passes bytes through, so any store that Spark writes to will do.
+are revisits of it; equality is by length, SHA-1 and SHA-256. Files are WARC compressed
+by gzip, written by Spark's text writer, which passes bytes through, so any store that Spark writes
+to will do.
 
-Reading: files come through Spark's binary reader, records are cut by Content-Length (never by
+Reading: files (gzip or plain) come through Spark's binary reader, records are cut by Content-Length (never by
 searching for markers in payloads), continuation records are grouped by origin identifier,
 ordered by segment number, checked for gaps, contradictions and total length, and the chunked
 framing is decoded. What fails a check keeps its row, with null payload and the reason in `error`.
@@ -20,6 +21,7 @@ the payload they make up is one value.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -118,7 +120,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     heads = rows.where(F.col("size") >= revisit_bytes).groupBy(*keys).agg(F.max("id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select(*keys, "head")
     rows = rows.join(heads, keys, "left").select("id", "uri", "payload", "sha1", F.when(~F.col("head").eqNullSafe(F.col("id")), F.col("head")).alias("head"))
     records = rows.mapInArrow(_records(segment_bytes), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", max_records_per_file).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", max_records_per_file).option("compression", "gzip").text(path)
 
 
 def _parsed(raw: bytes) -> Iterator[tuple]:
@@ -153,7 +155,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             out, held = [], 0
-            for row in _parsed(content.as_py()):
+            raw = content.as_py()
+            for row in _parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 out.append(row)
                 held += len(row[9] or b"")
                 if held > 4 << 20:
