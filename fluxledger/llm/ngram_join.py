@@ -12,9 +12,11 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
    the bound from shared prefix shingles are verified by prefix trees: the sets of one probe's
    partners, in the global order, are walked as a trie, where a shared path's overlap is counted
    once and a subtree is left when overlap plus the remaining lengths cannot reach the threshold.
-5. Groups whose classes are not yet in one component give all further pairs across components that
-   pass the same bounds, and these are verified in the same way. So no link between components is
-   missed, and no group is expanded into all its pairs.
+5. Groups whose classes are not yet in one component may hold further links. Groups of at most `FEW`
+   classes give all pairs across components that pass the same bounds. In larger groups the pivot's
+   set is the trunk of a tree: classes are joined on what their paths leave out of the trunk or add to
+   it, of which two that link must share more the farther both are from the pivot. These pairs are
+   verified in the same way, so no link between components is missed, and no group is expanded into all its pairs.
 
 Probes with many partners are dealt out in chunks; sets of partners move once per pair, texts are
 not shuffled. Broadcast: the sketch (16 MB) and a bitmap of candidate documents (1 MB), both of
@@ -41,6 +43,7 @@ PERCENT = 90
 SKETCH = 1 << 22
 BITMAP = 1 << 23
 CHUNK = 512
+FEW = 32
 _PARTS = 64
 #: Masks that give each group several pivots: the smallest class number under each.
 _MASKS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
@@ -239,18 +242,103 @@ def _likely(shared: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_near(F.col("n"), F.col("m"), percent) & (bound >= _needed(F.col("n"), F.col("m"), percent)))
 
 
-def _links_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
-    """Verified links among pairs (probe, cls), and scratch tables to drop; only the sets of paired classes are made."""
-    spark = texts.sparkSession
-    wanted = pairs.select("cls").union(pairs.select("probe")).distinct()
-    ids = written(classes.join(wanted, "cls", "left_semi").select("digest", "cls", "first_id"), "ngram-ids")
+def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
+    """(cls, tokens) of the wanted classes only, and scratch tables to drop."""
+    ids = written(classes.join(wanted.distinct(), "cls", "left_semi").select("digest", "cls", "first_id"), "ngram-ids")
     bits = bitmap(ids.select(F.pmod(F.xxhash64("first_id"), F.lit(BITMAP)).cast("int").alias("bit")), BITMAP)
-    bitmap_b = spark.sparkContext.broadcast(bits)
+    bitmap_b = texts.sparkSession.sparkContext.broadcast(bits)
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
     sets = texts.select("text", bit.alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
     sets = written(sets.join(ids, "digest").groupBy("digest", "cls").agg(F.first("tokens").alias("tokens")).select("cls", "tokens"), "ngram-sets")
-    links = written(_verify(pairs, sets, percent, counts_b), "ngram-links")
-    return links, [ids, sets]
+    return sets, [ids, sets]
+
+
+def _links_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
+    """Verified links among pairs (probe, cls), and scratch tables to drop; only the sets of paired classes are made."""
+    sets, tables = _sets_of(texts, classes, pairs.select("cls").union(pairs.select("probe")), k, counts_b)
+    return written(_verify(pairs, sets, percent, counts_b), "ngram-links"), tables
+
+
+def _few_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) across components of groups of at most FEW classes: a row has at most FEW - 1 partners."""
+    x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = _near(F.col("x.n"), F.col("y.n"), percent) & (rest >= _needed(F.col("x.n"), F.col("y.n"), percent))
+    cross = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.comp") != F.col("y.comp")) & once & near)
+    swap = F.col("x.cls") < F.col("y.cls")
+    flip = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
+    (probe, cls), (yn, n), (ypos, pos) = flip("cls"), flip("n"), flip("pos")
+    return _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent).select("probe", "cls")
+
+
+_MARKS = [f"marks{i}" for i in range(4)]
+
+
+def _marks(tokens: str) -> list[Column]:
+    """A 256-bit mark of an array of tokens, as four longs."""
+    return [F.expr(f"aggregate({tokens}, 0L, (m, x) -> m | if((shiftright(x, 8) & 3) = {i}, shiftleft(1L, cast(shiftright(x, 10) & 63 as int)), 0L))").alias(m) for i, m in enumerate(_MARKS)]
+
+
+def _deviations(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """How the path of each row (pivot, cls, comp) leaves its pivot's set, the trunk: n and t tokens, `a` of the trunk left out, dev: what is left out or added."""
+    trunk = sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("trunk"))
+    d = many.where("cls <> pivot").join(trunk, "pivot").join(sets, "cls")
+    d = d.select("pivot", "cls", "comp", F.size("tokens").alias("n"), F.size("trunk").alias("t"), F.array_except("trunk", "tokens").alias("out"), F.transform(F.array_except("tokens", "trunk"), F.bitwise_not).alias("new"))
+    return d.select("pivot", "cls", "comp", "n", "t", F.size("out").alias("a"), F.concat("out", "new").alias("dev")).select("*", F.size("dev").alias("d"), *_marks("dev"))
+
+
+def _shared(percent: int) -> Column:
+    """Deviations that rows x and y of one pivot must share to link; at least 1, see _trunk_pairs."""
+    return F.greatest(F.lit(1), _needed(F.col("x.n"), F.col("y.n"), percent) - F.col("x.t") + F.col("x.a") + F.col("y.a"))
+
+
+def _may_link(percent: int) -> Column:
+    """By sizes and marks: a mark of one side that the other lacks is a deviation they do not share."""
+    lacks = lambda u, v: sum((F.bit_count(F.col(f"{u}.{m}").bitwiseAND(F.bitwise_not(f"{v}.{m}"))) for m in _MARKS), F.lit(0))
+    most = F.least(F.col("x.d") - lacks("x", "y"), F.col("y.d") - lacks("y", "x"))
+    return (F.col("x.comp") != F.col("y.comp")) & _near(F.col("x.n"), F.col("y.n"), percent) & (most >= _shared(percent))
+
+
+def _more_pivots(d: DataFrame, many: DataFrame, percent: int, count: int = 16) -> DataFrame:
+    """Pairs (probe, cls) of every row with up to `count` classes that are not in their pivot's component; settles dense groups before any cross pairs."""
+    own = many.where("cls = pivot").select("pivot", F.col("comp").alias("main"))
+    far = d.join(own, "pivot").where("comp <> main")
+    picks = far.groupBy("pivot").agg(F.array_distinct(F.array(*[F.min_by("cls", F.xxhash64(F.lit(i), "cls")) for i in range(count)])).alias("picks"))
+    picked = picks.select("pivot", F.explode("picks").alias("cls")).join(d.drop("dev"), ["pivot", "cls"])
+    x, y = d.drop("dev").alias("x"), picked.alias("y")
+    pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & _may_link(percent))
+    return pairs.select(F.col("y.cls").alias("probe"), F.col("x.cls").alias("cls")).distinct()
+
+
+def _trunk_pairs(d: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) across components among the rows of _deviations.
+
+    The pivot's set is the trunk that all paths of its group share. With a trunk of t tokens, of which x and y leave
+    out a and b, the overlap is t - a - b plus the deviations they share. If t - a - b alone reached the threshold,
+    both would link with the pivot and be in one component; so x and y share at least
+    needed - (t - a - b) >= 1 deviations, and a prefix of the deviations, rarest in the group first,
+    shows every such pair. Marks of fixed size bound what two classes can share, so the join makes few rows
+    that are not links.
+    """
+    part = F.lit(percent) / (100 + percent)
+    least = d.groupBy("pivot").agg(F.min(part * F.col("n") + F.col("a")).alias("least"))
+    d = d.join(least, "pivot").withColumn("shared", F.greatest(F.lit(1), F.ceil(part * F.col("n") + F.col("least") - 1e-6) - F.col("t") + F.col("a")))
+    d = d.where(F.col("shared") <= F.size("dev"))
+    rows = d.select("pivot", "cls", F.explode("dev").alias("token"))
+    common = rows.groupBy("pivot", "token").agg(F.count("*").alias("f")).where("f > 1")
+    lists = rows.join(common, ["pivot", "token"]).groupBy("pivot", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("listed"))
+    d = d.select("pivot", "cls", "comp", "n", "t", "a", "d", "shared", *_MARKS).join(lists, ["pivot", "cls"])
+    # deviations that no other class has come first in the order, so the listed ones follow them
+    at = d.select("pivot", "cls", "comp", "n", "t", "a", "d", "shared", *_MARKS, (F.col("d") - F.size("listed")).alias("first"), F.posexplode("listed").alias("i", "x"))
+    at = at.withColumn("left", F.col("d") - F.col("first") - F.col("i")).where("left >= shared").select("pivot", "cls", "comp", "n", "t", "a", "d", "left", *_MARKS, F.col("x.token").alias("token"))
+    at = written(at, "ngram-branches")
+    x, y = at.alias("x"), at.alias("y")
+    shared, rest = _shared(percent), F.least("x.left", "y.left")
+    on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") > F.col("y.cls"))
+    pairs = x.join(y, on & (rest >= shared) & _may_link(percent))
+    pairs = pairs.groupBy(F.col("x.pivot").alias("pivot"), F.col("x.cls").alias("probe"), F.col("y.cls").alias("cls")).agg(F.count("*").alias("c"), F.min(rest).alias("rest"), F.first(shared).alias("shared"))
+    return pairs.where(F.col("c") + F.col("rest") - 1 >= F.col("shared")).select("probe", "cls")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -284,20 +372,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = members.select("token", "cls", "n", "pos").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     held = written(held, "ngram-held")
-    mixed_groups = held.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main <> other").select("token", "main")
-    open_rows = written(held.join(mixed_groups, "token"), "ngram-open")
+    unsettled = held.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.min("cls").alias("pivot"), F.count("*").alias("members")).where("main <> other").drop("other")
+    open_rows = written(held.join(unsettled, "token"), "ngram-open")
     drop_written(members, held)
-    x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = _near(F.col("x.n"), F.col("y.n"), percent) & (rest >= _needed(F.col("x.n"), F.col("y.n"), percent))
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.comp") != F.col("y.comp")) & once & near)
-    swap = F.col("x.cls") < F.col("y.cls")
-    flip = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
-    (probe, cls), (yn, n), (ypos, pos) = flip("cls"), flip("n"), flip("pos")
-    cross = _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent)
+    few = written(_few_pairs(open_rows.where(F.col("members") <= FEW), percent), "ngram-few")
+    many = open_rows.where(F.col("members") > FEW).select("pivot", "cls", "comp").distinct()
+    tables = []
+    if not many.isEmpty():
+        trunks, tables = _sets_of(texts, classes, many.select("cls").union(many.select("pivot")), k, counts_b)
+        far = written(_deviations(many, trunks), "ngram-deviations")
+        second = written(_verify(_more_pivots(far, many, percent), trunks, percent, counts_b), "ngram-second")
+        if not second.isEmpty():
+            links = written(links.unionByName(second), "ngram-links")
+            comp = components(links)
+            far = far.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("now")), "cls", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+        few = few.unionByName(_trunk_pairs(far, percent))
     seen = star.select(F.greatest("probe", "cls").alias("probe"), F.least("probe", "cls").alias("cls")).distinct()
-    cross = written(cross.select("probe", "cls").join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
+    cross = written(few.distinct().join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
+    drop_written(*tables)
     if not cross.isEmpty():
         more, tables = _links_of(texts, classes, cross, k, percent, counts_b)
         comp = components(links.unionByName(more))
