@@ -44,6 +44,8 @@ SKETCH = 1 << 22
 BITMAP = 1 << 23
 CHUNK = 512
 FEW = 32
+#: Shingles held before they are counted.
+HELD = 1 << 18
 _PARTS = 64
 #: Masks that give each group several pivots: the smallest class number under each.
 _MASKS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
@@ -53,6 +55,11 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _count(counts: np.ndarray, held: list[np.ndarray]) -> None:
+    cells, times = np.unique(np.concatenate(held), return_counts=True)
+    counts[cells] += times.astype(np.uint32)
+
+
 def _survey(k: int):
     """Per document: size and digest of its set; per task: the shingle counters, in parts."""
 
@@ -65,13 +72,13 @@ def _survey(k: int):
                 digests.append(_digest(s))
                 held.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
                 n_held += len(s)
-                if n_held > SKETCH:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+                if n_held > HELD:
+                    _count(counts, held)
                     held, n_held = [], 0
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "n", "digest", "part", "counts"])
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+            _count(counts, held)
         if counts.any():
             for i, part in enumerate(np.split(counts, _PARTS)):
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["id", "n", "digest", "part", "counts"])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,8 +87,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(starts, offsets)
 
 
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of whole texts of about SLICE bytes (a longer text alone), so memory does not follow the batch."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct k-word shingle hashes; fewer words make one shingle, none make none."""
+    for run in _runs(texts.fill_null("")):
+        yield from _shingle_sets(run, k)
+
+
+def _shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     words, first = word_hashes(texts)
     odd = [np.uint64((0xD6E8FEB86659FD93 * (2 * i + 1) | 1) & _MASK) for i in range(k)]
     if len(words) >= k:
