@@ -14,6 +14,7 @@ which each is kept if it carries the largest id; a null id is smaller than any o
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +51,8 @@ def normalised(text: Column) -> Column:
 def stream_state(landed: DataFrame, checkpoint: str | None = None, max_bytes_per_trigger: int = 256 << 30) -> DataFrame:
     """Streams a written table (digest, id, locator) into the keyed state; returns digest, members, keep_id, keep_locator.
 
-    Pass `checkpoint` to go on from earlier runs: their state is found again and new rows are
-    judged against all the old ones. Updates land as one table per micro-batch, so a batch that
+    Pass `checkpoint` to go on from earlier runs, with new rows appended to the same folder as theirs: their
+    state is found again and new rows are judged against all the old ones. Updates land as one table per micro-batch, so a batch that
     is run again after a failure overwrites its own output.
     """
     spark = landed.sparkSession
@@ -78,14 +79,23 @@ def stream_state(landed: DataFrame, checkpoint: str | None = None, max_bytes_per
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest=None, checkpoint: str | None = None) -> DataFrame:
     """One row per document: id, digest, class digest, keep_id, keep_locator, group_size, kept.
 
-    `digest` maps the normalised text column to a binary key; SHA-256 by default.
+    `digest` maps the normalised text column to a binary key; SHA-256 by default. With `checkpoint`, rows of
+    earlier calls with the same folder count too; full bytes are compared among the rows of this call.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", F.sha2("norm", 256))
     rows = rows.withColumn("digest", digest(F.col("norm")) if digest else F.unhex("sha"))
     # one pass over the texts lands the narrow rows; the locator says where the content is
-    landed = written(rows.select("digest", "id", "sha", F.concat(F.lit("id="), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(";bytes="), F.octet_length("norm")).alias("locator")), "dedup-landed")
-    state = stream_state(landed.select("digest", "id", "sha", "locator"), checkpoint)
+    locator = F.concat(F.lit("id="), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(";bytes="), F.octet_length("norm"))
+    narrow = rows.select("digest", "id", "sha", locator.alias("locator"))
+    if checkpoint:
+        run = uuid.uuid4().hex
+        narrow.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{checkpoint}/landed")
+        everything = spark.read.schema(narrow.schema.add("run", "string")).parquet(f"{checkpoint}/landed")
+        landed = everything.where(F.col("run") == run).drop("run")
+    else:
+        landed = everything = written(narrow, "dedup-landed")
+    state = stream_state(everything, checkpoint)
     # full bytes on hits: copies collapse map-side, and a digest left with two texts is no match
     odd = written(rows.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-odd")
     result = landed.join(state, "digest", "left")
