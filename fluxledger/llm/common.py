@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters that are not blank, tab or line/page break.
@@ -40,10 +40,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, watch: Observation | None = None, *metrics: Column) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, survives lost executors. `watch` gets `metrics` of the rows written."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.observe(watch, *metrics) if watch else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,13 +88,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.distinct()
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b")))
-        nxt = written(small.where("a <> b").distinct(), "cc")
-        state = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        watch = Observation()
+        nxt = written(small.where("a <> b").distinct(), "cc", watch, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        state = watch.get
         drop_written(cur)
         cur = nxt
-        if tuple(state) == last:
+        if state == last:
             break
-        last = tuple(state)
+        last = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -94,7 +94,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
             total[part] = total[part] + np.minimum(x, ~total[part]) if part in total else x  # saturating
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["part", "counts"])
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -257,6 +257,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, co
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
     sets = texts.select("text", bit.alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
     sets = written(sets.join(ids, "digest").groupBy("digest", "cls").agg(F.first("tokens").alias("tokens")).select("cls", "tokens"), "ngram-sets")
+    bitmap_b.destroy()
     return sets, [ids, sets]
 
 
@@ -353,11 +354,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     survey = written(texts.mapInArrow(_survey(k), "id long, n long, digest binary, part int, counts binary").withColumn("row", F.monotonically_increasing_id()), "ngram-survey")
-    parts = survey.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
+    parts = survey.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(_summed, "part int, counts binary")
     counts = np.zeros(SKETCH, np.uint32)
-    for r in parts:
-        counts.reshape(_PARTS, -1)[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    for r in parts.toLocalIterator():
+        counts.reshape(_PARTS, -1)[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     counts_b = spark.sparkContext.broadcast(counts)
+    del counts
 
     rows = survey.where("part is null").select("id", "n", "digest", "row")
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("first_id")), "ngram-classes")
