@@ -259,9 +259,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.withColumns({"rk": F.xxhash64(F.lit("row"), "id", "text"), "th": F.xxhash64("text")})
     long_texts = texts.where(F.octet_length("text") >= min_len).select("id", "rk", "th", "text")
     found = written(long_texts.mapInArrow(_anchor_rows(min_len, gram), f"id {id_type}, rk long, th long, lo long, hi long, key long, context long"), "lpf-anchors")
-    again = found.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key")
+    # key tables are written before they are joined: a join of two plain shuffles lets Spark split a hot anchor
+    again = written(found.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key"), "lpf-again")
     shared = written(found.join(again, "key"), "lpf-shared")
-    drop_written(found)
+    drop_written(found, again)
     place = F.struct("id", "th", "rk", "lo", "hi")
     kinds = written(shared.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "lpf-kinds")
 
@@ -283,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = long_texts.withColumn("bit", bit).mapInArrow(run, f"id {id_type}, rk long, th long, text string")
         return near.join(marked, ["rk", "th"]).dropDuplicates(["rk", "th"])
 
-    mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed_keys = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "lpf-mixed")
     opened = kinds.join(mixed_keys, "key").select("key", "kinds", F.col("first.rk").alias("rk"), F.col("first.th").alias("th"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))
     marks = written(opened.groupBy("rk", "th").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("marks")), "lpf-marks")
     contexts = affected(marks).mapInArrow(_context_rows(min_len), f"key long, id {id_type}, rk long, th long, lo long, raw binary")
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hits = hits.where(F.struct("id", "th", "rk", "pos") > F.col("least"))
         matched = matched.unionByName(hits.select("rk", "th", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     cover = written(runs.unionByName(matched).groupBy("rk", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "lpf-cover")
-    drop_written(shared, kinds, marks)
+    drop_written(shared, kinds, mixed_keys, marks)
     cuts = affected(cover).mapInArrow(_cut(min_len, with_bytes), "rk long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     base = texts.select("id", "rk", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text").cast("binary").alias("raw")] if with_bytes else []))
     out = base.join(cuts, ["rk", "th"], "left")
