@@ -9,8 +9,8 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
 3. Classes that reach the threshold share a shingle among the first n - ceil(p * n) + 1 of each
    (the prefix). Prefix shingles held by several classes make groups.
 4. Per group every class is paired with up to three pivots. Pairs that pass the length bound and
-   the bound from shared prefix shingles are verified by prefix trees: the sets of one probe's
-   partners, in the global order, are walked as a trie, where a shared path's overlap is counted
+   the bound from all shared prefix shingles, also those of groups with other pivots, are verified
+   by prefix trees: the sets of one probe's partners, in the global order, are walked as a trie, where a shared path's overlap is counted
    once and a subtree is left when overlap plus the remaining lengths cannot reach the threshold.
 5. Groups whose classes are not yet in one component may hold further links. Groups of at most `FEW`
    classes give all pairs across components that pass the same bounds. In larger groups the pivot's
@@ -238,15 +238,36 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _likely(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) of rows per shared prefix shingle whose overlap can still reach the threshold.
+def _bounded(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) of near sizes of rows per shared prefix shingle, with the overlap they need and can reach.
 
     With c shared shingles up to places i and j of the two orders, the overlap is at most
-    c + min(n - i - 1, m - j - 1).
+    c + min(n - i - 1, m - j - 1), `most`, provided that the rows hold every prefix shingle the pair shares.
+    If the rows may lack some, each row still shows that at most min(i, j) shared shingles come before it: `most_any`.
+    """
+    shared = shared.where(_near(F.col("n"), F.col("yn"), percent))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos"))
+    pairs = shared.groupBy("probe", "cls").agg(F.count("*").alias("c"), F.min(rest).alias("rest"), F.min(F.least("pos", "ypos") + rest).alias("most_any"), F.max("n").alias("n"), F.max("yn").alias("m"))
+    return pairs.select("probe", "cls", (F.col("c") + F.col("rest") - 1).alias("most"), "most_any", _needed(F.col("n"), F.col("m"), percent).alias("needed"))
+
+
+def _likely(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) whose overlap can still reach the threshold; `shared` has a row for every prefix shingle a pair shares."""
+    return _bounded(shared, percent).where("most >= needed").select("probe", "cls")
+
+
+def _star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (probe, cls) of every class with the pivots of its groups that can still link, and a scratch table to drop.
+
+    A pair meets in the groups whose pivot the probe is, and may share shingles of other groups. Pairs that
+    only these could save go back to all members, which count every shared prefix shingle.
     """
-    pairs = shared.groupBy("probe", "cls").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("ypos").alias("j"), F.max("n").alias("n"), F.max("yn").alias("m"))
-    bound = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    return pairs.where(_near(F.col("n"), F.col("m"), percent) & (bound >= _needed(F.col("n"), F.col("m"), percent)))
+    ours = members.select("token", "cls", "n", "pos", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))]))).alias("probe")).where("cls <> probe")
+    theirs = members.select("token", F.col("cls").alias("probe"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
+    met = written(_bounded(ours.join(theirs, ["token", "probe"]), percent).where("most_any >= needed"), "ngram-met")
+    doubtful = met.where("most < needed").select("probe", "cls")
+    again = members.select("token", "cls", "n", "pos").join(doubtful, "cls").join(theirs, ["token", "probe"])
+    return met.where("most >= needed").select("probe", "cls").unionByName(_likely(again, percent)), met
 
 
 def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
@@ -268,7 +289,11 @@ def _links_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, pe
 
 
 def _few_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) across components of groups of at most FEW classes: a row has at most FEW - 1 partners."""
+    """Pairs (probe, cls) across components of groups of at most FEW classes: a row has at most FEW - 1 partners.
+
+    Shingles of larger groups are not counted. A pair that shares one as well may be left out here: it was bounded
+    by all its shingles in _star if one of the two is that group's pivot, and is in _trunk_pairs if not.
+    """
     x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -277,7 +302,7 @@ def _few_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
     swap = F.col("x.cls") < F.col("y.cls")
     flip = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
     (probe, cls), (yn, n), (ypos, pos) = flip("cls"), flip("n"), flip("pos")
-    return _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent).select("probe", "cls")
+    return _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent)
 
 
 _MARKS = [f"marks{i}" for i in range(4)]
@@ -372,9 +397,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_written(index)
 
     # pivot pairs; shared prefix shingles and their places bound the overlap, so only likely pairs are verified
-    ours = members.select("token", "cls", "n", "pos", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))]))).alias("probe")).where("cls <> probe")
-    theirs = members.select("token", F.col("cls").alias("probe"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
-    star = written(_likely(ours.join(theirs, ["token", "probe"]), percent).select("probe", "cls"), "ngram-star")
+    star, met = _star(members, percent)
+    star = written(star, "ngram-star")
+    drop_written(met)
     links, tables = _links_of(texts, classes, star, k, percent, counts_b)
     drop_written(*tables)
     comp = components(links)

@@ -73,6 +73,29 @@ def test_ngram_join_dense_group(spark, k, percent, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_mixed_groups(spark):
+    """A pair just at the threshold whose shared prefix shingles are, in order, of a large group, small ones with other pivots, a large one."""
+    rnd = random.Random(5)
+    tail, pool = [f"t{i}" for i in range(89)], [f"r{i}" for i in range(120)]
+    texts = [" ".join(tail + [f"h{i}" for i in range(120)])] * 100 + [" ".join(pool)] * 100
+    linked = []
+    for g in range(3):
+        small, first, last = [f"f{g}_{i}" for i in range(4)], f"m{g}", f"n{g}"
+        for q in range(10):
+            texts += [" ".join([*small, f"q{g}_{q}", *rnd.sample(pool, 35)])] * 5
+        linked.append((len(texts), len(texts) + 1))
+        texts += [" ".join([*(f"{own}{g}_{i}" for i in range(5)), first, *small, last, *tail]) for own in "px"]
+        texts += [" ".join([first, last, *rnd.sample(pool, 28)]) for _ in range(38)]
+        texts += [" ".join([last, *rnd.sample(pool, 29)]) for _ in range(30)]
+    from test_registered import components as brute
+
+    rows = list(enumerate(texts))
+    want = brute([(i, t, None) for i, t in rows], 1, 90)
+    assert all(want[x] == (100, p) for p, x in linked)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=90).collect()}
+    assert got == want
+
+
 def test_trie():
     sets = [np.array(s) for s in ([0, 1, 2, 3], [0, 1, 2, 4], [0, 1, 5, 6], [7, 8, 9, 10], [0, 1, 2])]
     order = sorted(range(5), key=lambda i: sets[i].tolist())
