@@ -112,8 +112,12 @@ def fetch_budget(spark, sf_dir):
 
 @query("log_headers_unnest", fx.ORACLE_LOG + " SELECT partition, record_offset, unnest(header_keys) AS name, unnest(header_values) AS value FROM log WHERE partition = 1")
 def headers_unnest(spark, sf_dir):
-    rows = fx.events_log(spark, sf_dir).where("partition = 1")
-    return rows.select("partition", "record_offset", F.inline(F.arrays_zip(F.col("header_keys").alias("name"), F.col("header_values").alias("value"))))
+    return headers_unnest_all(spark, sf_dir).where("partition = 1")
+
+
+@query("log_headers_unnest_all", fx.ORACLE_LOG + " SELECT partition, record_offset, unnest(header_keys) AS name, unnest(header_values) AS value FROM log")
+def headers_unnest_all(spark, sf_dir):
+    return fx.events_log(spark, sf_dir).select("partition", "record_offset", F.inline(F.arrays_zip(F.col("header_keys").alias("name"), F.col("header_values").alias("value"))))
 
 
 @query("log_header_lookup", fx.ORACLE_LOG + " SELECT header_values[2] AS version, count(*) AS records FROM log GROUP BY 1")

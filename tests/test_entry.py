@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from fluxledger import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +50,11 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"])
 def test_query(spark, duck, name):
     same(spark, duck, name)
+
+
+def test_headers_of_all_partitions(spark):
+    log = fx.events_log(spark, SF)
+    rows = entry.queries()["log_headers_unnest_all"](spark, SF)
+    per_partition = lambda df, n: {r["partition"]: r["n"] for r in df.groupBy("partition").agg(n.alias("n")).collect()}
+    got = per_partition(rows, F.count("*"))
+    assert got == per_partition(log, F.sum(F.size("header_keys"))) and len(got) == 6
