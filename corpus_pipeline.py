@@ -24,11 +24,11 @@ def _matched(docs: DataFrame, rows: DataFrame, on: Column, how: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or no machine gives it even odds."""
+    """Drops documents without a language: no letters, or neither the family nor the pair machines give it even odds."""
     labelled = docs.where(~held_out())
     model = train(labelled)
     said = identify(docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns]), model, text_col="_text")
-    return said.where("lang_pred <> 'und' and score >= 0.5").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return said.where("lang_pred <> 'und' and odds >= 0.5").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

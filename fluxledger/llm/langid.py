@@ -103,7 +103,8 @@ class Model:
         self.w = np.stack([w / scale for w, _ in columns], 1) if columns else np.zeros((x.shape[1], 0))
         self.b = np.array([b - float((w / scale) @ mean) for w, b in columns])
 
-    def predict(self, f: np.ndarray) -> tuple[str, float]:
+    def predict(self, f: np.ndarray) -> tuple[str, float, float]:
+        """Language, score and the better of what the family machines and the pair machines give it."""
         margins = f @ self.w + self.b
         sure, family = 1.0, self.families[0]
         if self.n_family:
@@ -120,7 +121,8 @@ class Model:
                 support[j] += 1 - p
         win = max(family, key=lambda i: (votes[i], support[i], -i))
         inner = support[win] / (len(family) - 1) if len(family) > 1 else 1.0
-        return self.langs[win], float(min(1.0, max(0.0, sure * inner)))
+        said = [p for p, asked in ((sure, self.n_family), (inner, len(family) > 1)) if asked]
+        return self.langs[win], float(min(1.0, max(0.0, sure * inner))), float(max(said, default=1.0))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training_docs: int = 2000) -> Model | None:
@@ -148,15 +150,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row of `docs` (columns of these names are replaced)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double"
+    """Adds lang_pred, score and odds to every row of `docs` (columns of these names are replaced)."""
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "odds")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double, odds double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [("und", 0.0) if t is None or model is None else model.predict(features(t)) for t in _texts(batch.column(text_col))]
-            columns = [batch.column(c) for c in kept] + [pa.array([a for a, _ in said], pa.string()), pa.array([b for _, b in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+            said = [("und", 0.0, 0.0) if t is None or model is None else model.predict(features(t)) for t in _texts(batch.column(text_col))]
+            columns = [batch.column(c) for c in kept] + [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "odds"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fluxledger.llm import chat_format, decontaminate, exact_dedup, langid, mixing, ngram_join, quality, suffix_dedup, url_filter, warc
 from fluxledger.llm.common import components
 
@@ -133,6 +134,29 @@ def test_language(docs, none):
     assert langid.train(none) is None and {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def _fixed_model(families, family_margins, pair_margin):
+    """Machines that say the same of every text."""
+    model = langid.Model.__new__(langid.Model)
+    model.langs, model.families, model.pairs, model.n_family = ["de", "en", "es", "fi"], families, [(0, 1)], len(families)
+    model.b = np.array([*family_margins, pair_margin])
+    model.w = np.zeros((langid.DIMS, len(model.b)))
+    return model
+
+
+def test_language_stage_keeps_even_odds(docs, monkeypatch):
+    """0.6 from the family machines and 0.6 from the pair machines: the score is 0.36, and the documents stay."""
+    three = [[0, 1], [2], [3]]
+    model = _fixed_model(three, [np.log(3) / 2, 0, 0], np.log(1.5) / 3)
+    lang, score, odds = model.predict(langid.features(b"two words"))
+    assert lang == "de" and round(score, 6) == 0.36 and round(odds, 6) == 0.6
+    monkeypatch.setattr(corpus_pipeline, "train", lambda labelled: model)
+    kept = corpus_pipeline.language(docs.sparkSession, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 3, 3, 7, 8]
+    # one language a family, 0.33 each: no machine gives even odds
+    monkeypatch.setattr(corpus_pipeline, "train", lambda labelled: _fixed_model([[2], [1], [3]], [0, 0, 0], 0))
+    assert corpus_pipeline.language(docs.sparkSession, docs, "").count() == 0
+
+
 def test_quality(docs, none):
     rows = {r["id"]: (r["score"], r["kept"]) for r in quality.score_quality(docs).collect()}
     assert rows[4] == rows[5] == (0.0, False) and quality.score_quality(none).count() == 0
