@@ -58,17 +58,21 @@ def drop_written(*tables: DataFrame) -> None:
 
 
 def bitmap(bits: DataFrame, size: int) -> np.ndarray:
-    """A bool array of `size` (a fixed bound, at most 8192 * 8192) that is true at every value of the int column `bit`.
+    """Packed bits, `size` of them (a fixed bound), set at every value of the int column `bit`; at most size / 8 bytes reach the driver.
 
     Made for broadcasting as a filter before an exact join: it may let too much pass, never too little.
     """
-    out = np.zeros(size, bool)
-    parts = bits.select("bit").distinct().groupBy(F.floor(F.col("bit") / 8192)).agg(F.collect_list("bit").alias("bits"))
-    for r in parts.toLocalIterator():
-        out[r["bits"]] = True
+    out = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    parts = bits.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768)).cast("long")).alias("bits"))
+    for r in parts.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def has_bit(packed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (packed[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) as (id, component), component being the smallest id in reach.
 

@@ -4,140 +4,226 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
 
 1. Documents with equal sets form a class at once (digest of the set, grouped with map-side
    combination); all that follows works on classes.
-2. One global order of shingles, rarest first: a counting sketch over all documents, of fixed size
-   (`SKETCH` counters), then the hash. Any order gives right results; a good one keeps groups small.
-3. Classes that reach the threshold share a shingle among the first n - ceil(p * n) + 1 of each
-   (the prefix). Prefix shingles held by several classes make groups.
-4. Per group every class is paired with up to three pivots. Pairs that pass the length bound and
-   the bound from all shared prefix shingles, also those of groups with other pivots, are verified
-   by prefix trees: the sets of one probe's partners, in the global order, are walked as a trie, where a shared path's overlap is counted
-   once and a subtree is left when overlap plus the remaining lengths cannot reach the threshold.
-5. Groups whose classes are not yet in one component may hold further links. Groups of at most `FEW`
-   classes give all pairs across components that pass the same bounds. In larger groups the pivot's
+2. Sets are put in one global order, that of the shingle hashes, and stored as a tree of paths: the
+   order is cut at fixed places, and what lies between two cuts is one edge. Sizes fall into bands,
+   whose cuts lie so close that a set of the band has more edges than a partner may differ in
+   tokens; two linked sets then share whole edges. Each set stores a prefix of its edges, longest
+   first, which is long enough to meet every partner (the prefix lemma over edges: H + 1 edges,
+   H being the most tokens in which partners of its size differ). A set with too few edges (equal cuts
+   fall together by chance) also stores edges of finer cuts, at last single tokens.
+3. Tasks collapse equal edges of their own documents, then edges meet by ranges of their hash; an
+   edge of a single class goes no further. A hot edge costs a row per task, not per document.
+4. Each class is paired with two pivots of its edges. Pairs are verified by walking prefix trees:
+   the sets of one probe's partners, in the global order, are a trie in depth-first order, where a
+   shared path's overlap is counted once and a subtree is left when overlap plus the remaining
+   lengths cannot reach the threshold.
+5. Edges whose classes are not yet in one component may hold further links. Edges of at most `FEW`
+   classes give all pairs across components. On larger ones the pivot's
    set is the trunk of a tree: classes are joined on what their paths leave out of the trunk or add to
    it, of which two that link must share more the farther both are from the pivot. These pairs are
    verified in the same way, so no link between components is missed, and no group is expanded into all its pairs.
 
 Probes with many partners are dealt out in chunks; sets of partners move once per pair, texts are
-not shuffled. Broadcast: the sketch (16 MB) and a bitmap of candidate documents (1 MB), both of
-fixed size. Defined results: null, empty or word-less texts have empty sets and link with nothing;
-repeated ids are separate documents; component_id is the smallest non-null id in the component.
+not shuffled. Broadcast: a bitmap of candidate documents (1 MB, fixed size). Defined results: null,
+empty or word-less texts have empty sets and link with nothing; repeated ids are separate documents;
+component_id is the smallest non-null id in the component; other columns, whatever their names, are not
+read; ids are cast to long.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, drop_written, load, written
-from .shingles import shingle_sets
+from .common import bitmap, components, drop_written, has_bit, load, written
+from .shingles import mixed, shingle_sets
 
 K = 3
 PERCENT = 90
-SKETCH = 1 << 22
 BITMAP = 1 << 23
 CHUNK = 512
 FEW = 32
-#: Shingles held before they are counted.
-HELD = 1 << 18
-_PARTS = 64
-#: Masks that give each group several pivots: the smallest class number under each.
-_MASKS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
+#: Edges a task holds before it sends them off.
+HELD = 1 << 21
+_SALT = 0x9E3779B97F4A7C15
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _count(counts: np.ndarray, held: list[np.ndarray]) -> None:
-    cells, times = np.unique(np.concatenate(held), return_counts=True)
-    counts[cells] += times.astype(np.uint32)
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _survey(k: int):
-    """Per document: size and digest of its set; per task: the shingle counters, in parts."""
+    """Per document: size and digest of its set, and the digest's first eight bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n_held = np.zeros(SKETCH, np.uint32), [], 0
         for batch in batches:
             sizes, digests = [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 digests.append(_digest(s))
-                held.append((s & np.uint64(SKETCH - 1)).astype(np.int32))
-                n_held += len(s)
-                if n_held > HELD:
-                    _count(counts, held)
-                    held, n_held = [], 0
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "n", "digest", "part", "counts"])
-        if held:
-            _count(counts, held)
-        if counts.any():
-            for i, part in enumerate(np.split(counts, _PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["id", "n", "digest", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([_key(d) for d in digests], pa.int64())], ["id", "n", "digest", "d"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of each part; a task holds the parts dealt to it, at most the sketch."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts")):
-            x = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
-            total[part] = total[part] + np.minimum(x, ~total[part]) if part in total else x  # saturating
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["part", "counts"])
-
-
-def _prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
-
-
-def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the global order: rarest first, then by hash (s comes sorted by hash)."""
-    return s[np.argsort(counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
-
+def bands(percent: int) -> np.ndarray:
+    """Largest set size of each band; a band spans the lengths of two steps of partners."""
+    out, lo = [], 1
+    while lo < 1 << 40:
+        out.append(max(lo, lo * 10_000 // (percent * percent)))
+        lo = out[-1] + 1
+    return np.array(out, np.int64)
+
+
+def stored_edges(s: np.ndarray, percent: int, tops: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the edges that a set (sorted, distinct) stores, for its own band and those of smaller partners."""
+    n = len(s)
+    own = int(np.searchsorted(tops, n))
+    for band in range(own, -1, -1):
+        top = int(tops[band])
+        if band < own and 100 * top < percent * n:
+            break
+        # tokens in which a partner may differ; a pair meets in the band of the smaller set
+        partner = 100 * n // percent if band == own else top
+        h = (100 - percent) * (n + partner) // (100 + percent)
+        cuts = 1 + 13 * (1 + (100 - percent) * top // percent) // 10
+        for level, m in enumerate((cuts, 4 * cuts, None)):
+            salt = np.uint64(_SALT * (3 * band + level + 1) & 0xFFFFFFFFFFFFFFFF)
+            tokens = mixed(s ^ salt)
+            if m is None:
+                edges = tokens[: h + 1]  # the lemma on single tokens, in the order of the hashes
+                more = False
+            else:
+                place = (s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                edges = mixed(np.add.reduceat(tokens, first) + salt)
+                more = len(edges) <= h
+                if not more:
+                    size = np.diff(np.append(first, n))
+                    edges = edges[np.lexsort((edges, -size))[: h + 1]]
+            yield edges
+            if not more:
+                break
+
+
+def _grouped(edges: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(edges in order, keys, first place of every run, smallest key of the run, whether the run has two keys)."""
+    order = np.argsort(edges, kind="stable")
+    edges, keys = edges[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], edges[1:] != edges[:-1]]))
+    low = np.minimum.reduceat(keys, first)
+    return edges, keys, first, low, low != np.maximum.reduceat(keys, first)
+
+
+def _member_rows(edges: np.ndarray, keys: np.ndarray, first: np.ndarray, low: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """(edge, key, smallest key) of the runs with several keys, as rows of int64."""
+    sizes = np.diff(np.append(first, len(edges)))
+    inside = np.repeat(several, sizes)
+    return np.stack([edges.view(np.int64)[inside], keys[inside], np.repeat(low, sizes)[inside]], 1)
+
+
+def _blobs(ranges: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
+    """One binary value per range of the rows, which are in order of their range."""
+    first = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+    width = rows.shape[1] * 8
+    offsets = (np.append(first, len(rows)) * width).astype(np.int64)
+    data = pa.py_buffer(np.ascontiguousarray(rows))
+    values = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), data]).cast(pa.binary())
+    empty = pa.nulls(len(first), pa.binary())
+    columns = [values, empty] if name == "entries" else [empty, values]
+    return pa.RecordBatch.from_arrays([pa.array(ranges[first], pa.int32()), *columns], ["range", "entries", "members"])
+
+
+def _edges(k: int, percent: int, bits: int):
+    """Texts to blobs of (edge, class) by range of the edge hash; edges that several classes of one task share go out once, with their members apart."""
+
+    def flush(edges: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e, key, first, low, several = _grouped(np.concatenate(edges), np.concatenate(keys))
+        ranges = (e >> np.uint64(64 - bits)).astype(np.int32)
+        once = np.stack([e[first].view(np.int64), low], 1)
+        step = 1 << 18
+        for a in range(0, len(once), step):
+            yield _blobs(ranges[first][a : a + step], once[a : a + step], "entries")
+        inside = np.repeat(several, np.diff(np.append(first, len(e))))
+        members = _member_rows(e, key, first, low, several)
+        for a in range(0, len(members), step):
+            yield _blobs(ranges[inside][a : a + step], members[a : a + step], "members")
 
-def _prefixes(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        tops = bands(percent)
+        edges, keys, held = [], [], 0
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
             for s in shingle_sets(batch.column("text"), k):
-                if len(s):
-                    digests.append(_digest(s))
-                    sizes.append(len(s))
-                    prefixes.append(_ordered(s, counts)[: _prefix_length(len(s), percent)].view(np.int64))
-            lengths = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), values)], ["digest", "n", "prefix"])
+                if not len(s):
+                    continue
+                d = _key(_digest(s))
+                for e in stored_edges(s, percent, tops):
+                    edges.append(e)
+                    keys.append(np.full(len(e), d, np.int64))
+                    held += len(e)
+                if held >= HELD:
+                    yield from flush(edges, keys)
+                    edges, keys, held = [], [], 0
+        if held:
+            yield from flush(edges, keys)
 
     return run
 
 
-def _full_sets(k: int, counts_b, bitmap_b):
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs in order of their range to (edge, d, pivot) of every class on an edge of several classes; pivot: the smallest class seen there."""
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[a : a + (1 << 17)].T], ["edge", "d", "pivot"])
+
+    held, size, last = [], 0, None
+    for batch in batches:
+        for at, entries, members in zip(batch.column("range").to_pylist(), batch.column("entries"), batch.column("members")):
+            if at != last and size > 1 << 23:  # whole ranges only
+                both = np.concatenate(held)
+                yield from out(_member_rows(*_grouped(both[:, 0].view(np.uint64), both[:, 1].copy())))
+                held, size = [], 0
+            last = at
+            if members.is_valid:
+                yield from out(np.frombuffer(members.as_buffer(), np.int64).reshape(-1, 3))
+            else:
+                held.append(np.frombuffer(entries.as_py(), np.int64).reshape(-1, 2))
+                size += held[-1].nbytes
+    if held:
+        both = np.concatenate(held)
+        yield from out(_member_rows(*_grouped(np.ascontiguousarray(both[:, 0]).view(np.uint64), both[:, 1].copy())))
+
+
+def _full_sets(k: int, bitmap_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits = counts_b.value, bitmap_b.value
         for batch in batches:
-            ok = bits[batch.column("bit").to_numpy(zero_copy_only=False)]
-            texts = batch.column("text").filter(pa.array(ok))
-            digests, sets = [], []
+            texts = batch.column("text").filter(pa.array(has_bit(bitmap_b.value, batch.column("bit").to_numpy(zero_copy_only=False))))
+            digests, sets, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets).view(np.int64)))], ["digest", "tokens"])
+
             for s in shingle_sets(texts, k):
                 if len(s):
                     digests.append(_digest(s))
-                    sets.append(_ordered(s, counts).view(np.int64))
-            for a in range(0, len(sets), 500):
-                part = sets[a : a + 500]
-                lengths = np.cumsum([0, *map(len, part)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(digests[a : a + 500], pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(part)))], ["digest", "tokens"])
+                    sets.append(s)
+                    held += len(s)
+                if held > 1 << 18:
+                    yield made()
+                    digests, sets, held = [], [], 0
+            if sets:
+                yield made()
 
     return run
 
@@ -181,17 +267,14 @@ def trie_partners(probe: np.ndarray, sets: list[np.ndarray], order: np.ndarray,
     return found
 
 
-def _verified(percent: int, counts_b):
+def _verified(percent: int):
     """Rows (probe, chunk, is_probe, cls, tokens), sorted so that a probe's own row leads its chunk, to links."""
 
     def links(probe: int, own: np.ndarray, classes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        counts = counts_b.value
-        tokens = np.unique(np.concatenate([own, *sets]))
-        rank = np.empty(len(tokens), np.int64)
-        rank[np.argsort(counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")] = np.arange(len(tokens))
-        ranked = [rank[np.searchsorted(tokens, s)] for s in sets]
+        tokens = np.unique(np.concatenate([own, *sets]))  # ranks follow the hashes, the global order
+        ranked = [np.searchsorted(tokens, s) for s in sets]
         order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
-        return [(probe, classes[i]) for i in trie_partners(rank[np.searchsorted(tokens, own)], ranked, order, percent)]
+        return [(probe, classes[i]) for i in trie_partners(np.searchsorted(tokens, own), ranked, order, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, classes, sets = None, None, [], []
@@ -218,15 +301,18 @@ def _verified(percent: int, counts_b):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, counts_b) -> DataFrame:
-    """Links among the pairs (probe, cls)."""
-    chunks = pairs.groupBy("probe").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the written pairs (probe, cls), as a written table."""
+    # written first, so that Spark can split a hot probe in the join
+    chunks = written(pairs.groupBy("probe").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "ngram-chunks")
     dealt = pairs.join(chunks, "probe").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))).select("probe", "chunk", "cls")
     partners = dealt.join(sets, "cls").select("probe", "chunk", F.lit(False).alias("is_probe"), "cls", "tokens")
     own = chunks.select("probe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     own = own.join(sets, F.col("probe") == F.col("cls")).select("probe", "chunk", F.lit(True).alias("is_probe"), "cls", "tokens")
     rows = partners.unionByName(own).repartition("probe", "chunk").sortWithinPartitions("probe", "chunk", F.desc("is_probe"))
-    return rows.mapInArrow(_verified(percent, counts_b), "a long, b long")
+    links = written(rows.mapInArrow(_verified(percent), "a long, b long"), "ngram-links")
+    drop_written(chunks)
+    return links
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -238,71 +324,31 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _bounded(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) of near sizes of rows per shared prefix shingle, with the overlap they need and can reach.
-
-    With c shared shingles up to places i and j of the two orders, the overlap is at most
-    c + min(n - i - 1, m - j - 1), `most`, provided that the rows hold every prefix shingle the pair shares.
-    If the rows may lack some, each row still shows that at most min(i, j) shared shingles come before it: `most_any`.
-    """
-    shared = shared.where(_near(F.col("n"), F.col("yn"), percent))
-    rest = F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos"))
-    pairs = shared.groupBy("probe", "cls").agg(F.count("*").alias("c"), F.min(rest).alias("rest"), F.min(F.least("pos", "ypos") + rest).alias("most_any"), F.max("n").alias("n"), F.max("yn").alias("m"))
-    return pairs.select("probe", "cls", (F.col("c") + F.col("rest") - 1).alias("most"), "most_any", _needed(F.col("n"), F.col("m"), percent).alias("needed"))
-
-
-def _likely(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) whose overlap can still reach the threshold; `shared` has a row for every prefix shingle a pair shares."""
-    return _bounded(shared, percent).where("most >= needed").select("probe", "cls")
-
-
-def _star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (probe, cls) of every class with the pivots of its groups that can still link, and a scratch table to drop.
-
-    A pair meets in the groups whose pivot the probe is, and may share shingles of other groups. Pairs that
-    only these could save go back to all members, which count every shared prefix shingle.
-    """
-    ours = members.select("token", "cls", "n", "pos", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(_MASKS))]))).alias("probe")).where("cls <> probe")
-    theirs = members.select("token", F.col("cls").alias("probe"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
-    met = written(_bounded(ours.join(theirs, ["token", "probe"]), percent).where("most_any >= needed"), "ngram-met")
-    doubtful = met.where("most < needed").select("probe", "cls")
-    again = members.select("token", "cls", "n", "pos").join(doubtful, "cls").join(theirs, ["token", "probe"])
-    return met.where("most >= needed").select("probe", "cls").unionByName(_likely(again, percent)), met
-
-
-def _sets_of(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
-    """(cls, tokens) of the wanted classes only, and scratch tables to drop."""
-    ids = written(classes.join(wanted.distinct(), "cls", "left_semi").select("digest", "cls", "first_id"), "ngram-ids")
-    bits = bitmap(ids.select(F.pmod(F.xxhash64("first_id"), F.lit(BITMAP)).cast("int").alias("bit")), BITMAP)
-    bitmap_b = texts.sparkSession.sparkContext.broadcast(bits)
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
-    sets = texts.select("text", bit.alias("bit")).mapInArrow(_full_sets(k, counts_b, bitmap_b), "digest binary, tokens array<long>")
-    sets = written(sets.join(ids, "digest").groupBy("digest", "cls").agg(F.first("tokens").alias("tokens")).select("cls", "tokens"), "ngram-sets")
+def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens) of the wanted classes (digest, cls, first_id); other texts are dropped by bitmap before any shuffle."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
+    bitmap_b = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bit("first_id").alias("bit")), BITMAP))
+    sets = texts.select("text", bit("id").alias("bit")).mapInArrow(_full_sets(k, bitmap_b), "digest binary, tokens array<long>")
+    sets = written(sets.join(wanted, "digest").groupBy("digest", "cls").agg(F.first("tokens").alias("tokens")).select("cls", "tokens"), "ngram-sets")
     bitmap_b.destroy()
-    return sets, [ids, sets]
+    return sets
 
 
-def _links_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, counts_b) -> tuple[DataFrame, list[DataFrame]]:
-    """Verified links among pairs (probe, cls), and scratch tables to drop; only the sets of paired classes are made."""
-    sets, tables = _sets_of(texts, classes, pairs.select("cls").union(pairs.select("probe")), k, counts_b)
-    return written(_verify(pairs, sets, percent, counts_b), "ngram-links"), tables
+def _star(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (probe, cls) of every class with the pivot it meets on most edges and its smallest pivot."""
+    met = members.where("d <> pivot").groupBy("d", "pivot").agg(F.count("*").alias("c"))
+    best = met.groupBy("d").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("most"), F.min("pivot").alias("least"))
+    pairs = best.select("d", F.explode(F.array_distinct(F.array("most", "least"))).alias("pivot"))
+    named = pairs.join(classes.select("d", "cls"), "d").join(classes.select(F.col("d").alias("pivot"), F.col("cls").alias("probe")), "pivot")
+    return written(named.select("probe", "cls"), "ngram-star")
 
 
 def _few_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) across components of groups of at most FEW classes: a row has at most FEW - 1 partners.
-
-    Shingles of larger groups are not counted. A pair that shares one as well may be left out here: it was bounded
-    by all its shingles in _star if one of the two is that group's pivot, and is in _trunk_pairs if not.
-    """
+    """Pairs (probe, cls) across components on edges of at most FEW classes: a row has at most FEW - 1 partners."""
     x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = _near(F.col("x.n"), F.col("y.n"), percent) & (rest >= _needed(F.col("x.n"), F.col("y.n"), percent))
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.comp") != F.col("y.comp")) & once & near)
-    swap = F.col("x.cls") < F.col("y.cls")
-    flip = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
-    (probe, cls), (yn, n), (ypos, pos) = flip("cls"), flip("n"), flip("pos")
-    return _likely(cross.select(probe.alias("probe"), cls.alias("cls"), yn.alias("yn"), n.alias("n"), ypos.alias("ypos"), pos.alias("pos")), percent)
+    cross = x.join(y, F.col("x.edge") == F.col("y.edge")).where((F.col("x.comp") != F.col("y.comp")) & once & _near(F.col("x.n"), F.col("y.n"), percent))
+    return cross.select(F.greatest("x.cls", "y.cls").alias("probe"), F.least("x.cls", "y.cls").alias("cls")).distinct()
 
 
 _MARKS = [f"marks{i}" for i in range(4)]
@@ -376,65 +422,51 @@ def _trunk_pairs(d: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for every row of `docs`."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    survey = written(texts.mapInArrow(_survey(k), "id long, n long, digest binary, part int, counts binary").withColumn("row", F.monotonically_increasing_id()), "ngram-survey")
-    parts = survey.where("part is not null").select("part", "counts").repartition(_PARTS, "part").mapInArrow(_summed, "part int, counts binary")
-    counts = np.zeros(SKETCH, np.uint32)
-    for r in parts.toLocalIterator():
-        counts.reshape(_PARTS, -1)[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    counts_b = spark.sparkContext.broadcast(counts)
-    del counts
-
-    rows = survey.where("part is null").select("id", "n", "digest", "row")
-    classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("first_id")), "ngram-classes")
-    prefixes = texts.select("text").mapInArrow(_prefixes(k, percent, counts_b), "digest binary, n long, prefix array<long>")
-    prefixes = prefixes.groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(classes, "digest")
-    index = written(prefixes.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")), "ngram-index")
-    pivots = [F.min(F.col("cls").bitwiseXOR(F.lit(m))).alias(f"p{i}") for i, m in enumerate(_MASKS)]
-    groups = index.groupBy("token").agg(F.count("*").alias("members"), *pivots).where("members > 1")
-    members = written(index.join(groups.select("token", *[F.col(f"p{i}").bitwiseXOR(F.lit(m)).alias(f"p{i}") for i, m in enumerate(_MASKS)]), "token"), "ngram-members")
-    drop_written(index)
-
-    # pivot pairs; shared prefix shingles and their places bound the overlap, so only likely pairs are verified
-    star, met = _star(members, percent)
-    star = written(star, "ngram-star")
-    drop_written(met)
-    links, tables = _links_of(texts, classes, star, k, percent, counts_b)
-    drop_written(*tables)
-    comp = components(links)
-
-    held = members.select("token", "cls", "n", "pos").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    watch = Observation()
+    survey = texts.mapInArrow(_survey(k), "id long, n long, digest binary, d long").withColumn("row", F.monotonically_increasing_id())
+    survey = written(survey, "ngram-survey", watch, F.sum("n").alias("tokens"))
+    classes = written(survey.where("n > 0").groupBy("digest").agg(F.max("d").alias("d"), F.max("n").alias("n"), F.min("row").alias("cls"), F.min("id").alias("first_id")), "ngram-classes")
+
+    # a range of edges is to hold some 50,000; at least 64 ranges, at most 2 ** 20
+    bits = min(20, max(6, ((watch.get["tokens"] or 0) * (100 - percent) // (50_000 * percent)).bit_length()))
+    edges = texts.select("text").mapInArrow(_edges(k, percent, bits), "range int, entries binary, members binary")
+    members = written(edges.repartition("range").sortWithinPartitions("range").mapInArrow(_met, "edge long, d long, pivot long"), "ngram-members")
+    sets = _sets_of(texts, members.select("d").distinct().join(classes, "d").select("digest", "cls", "first_id"), k)
+
+    star = _star(members, classes)
+    links = [_verify(star, sets, percent)]
+    comp = components(links[0])
+    held = members.select("edge", "d").distinct().join(classes.select("d", "cls", "n"), "d").select("edge", "cls", "n")
+    held = held.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("edge", "cls", "n", F.coalesce("component", "cls").alias("comp"))
     held = written(held, "ngram-held")
-    unsettled = held.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.min("cls").alias("pivot"), F.count("*").alias("members")).where("main <> other").drop("other")
-    open_rows = written(held.join(unsettled, "token"), "ngram-open")
-    drop_written(members, held)
-    few = written(_few_pairs(open_rows.where(F.col("members") <= FEW), percent), "ngram-few")
-    many = open_rows.where(F.col("members") > FEW).select("pivot", "cls", "comp").distinct()
-    tables = []
+    drop_written(members)
+    unsettled = held.groupBy("edge").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.min("cls").alias("pivot"), F.count("*").alias("members")).where("main <> other").drop("other")
+    unsettled = written(unsettled, "ngram-unsettled")
+    open_rows = written(held.join(unsettled, "edge"), "ngram-open")
+    drop_written(held, unsettled)
+    cross = _few_pairs(open_rows.where(F.col("members") <= FEW), percent)
+    many = written(open_rows.where(F.col("members") > FEW).select("pivot", "cls", "comp").distinct(), "ngram-many")
     if not many.isEmpty():
-        trunks, tables = _sets_of(texts, classes, many.select("cls").union(many.select("pivot")), k, counts_b)
-        far = written(_deviations(many, trunks), "ngram-deviations")
-        second = written(_verify(_more_pivots(far, many, percent), trunks, percent, counts_b), "ngram-second")
-        if not second.isEmpty():
-            links = written(links.unionByName(second), "ngram-links")
-            comp = components(links)
-            far = far.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("now")), "cls", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-        few = few.unionByName(_trunk_pairs(far, percent))
+        far = written(_deviations(many, sets), "ngram-deviations")
+        pivots = many.where("cls <> pivot").select(F.col("pivot").alias("probe"), "cls")
+        second = written(_more_pivots(far, many, percent).unionByName(pivots).distinct(), "ngram-second")
+        links.append(_verify(second, sets, percent))
+        comp = components(links[0].unionByName(links[1]))
+        now = comp.select(F.col("id").alias("cls"), F.col("component").alias("now"))
+        cross = cross.unionByName(_trunk_pairs(far.join(now, "cls", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now"), percent)).distinct()
     seen = star.select(F.greatest("probe", "cls").alias("probe"), F.least("probe", "cls").alias("cls")).distinct()
-    cross = written(few.distinct().join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
-    drop_written(*tables)
+    cross = written(cross.join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
     if not cross.isEmpty():
-        more, tables = _links_of(texts, classes, cross, k, percent, counts_b)
-        comp = components(links.unionByName(more))
-        drop_written(*tables, more)
-    drop_written(open_rows, star, cross, links)
+        links.append(_verify(cross, sets, percent))
+        comp = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]) if len(links) == 2 else links[0].unionByName(links[1]).unionByName(links[2]))
+    drop_written(open_rows, many, star, cross, sets, *links)
 
     named = classes.join(comp, F.col("cls") == F.col("id"), "left").select("digest", F.coalesce("component", "cls").alias("component"), "first_id")
     named = written(named, "ngram-named")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("digest", "component_id")
-    out = rows.join(named, "digest", "left")
+    least = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "ngram-least")
+    named = written(named.join(least, "component").select("digest", "component_id"), "ngram-names")
+    out = survey.select("id", "n", "digest").join(named, "digest", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

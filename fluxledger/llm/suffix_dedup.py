@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, drop_written, load, written
+from .common import bitmap, drop_written, has_bit, load, written
 from .shingles import _BYTES, _Tables, mixed
 
 MIN_LEN = 400
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(bits_b.value[batch.column("bit").to_numpy(zero_copy_only=False)])).drop_columns(["bit"])
+                yield batch.filter(pa.array(has_bit(bits_b.value, batch.column("bit").to_numpy(zero_copy_only=False)))).drop_columns(["bit"])
 
         near = long_texts.withColumn("bit", bit).mapInArrow(run, f"id {id_type}, rk long, th long, text string")
         return near.join(marked, ["rk", "th"]).dropDuplicates(["rk", "th"])
