@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -15,6 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Runtime Bloom filters at any size of the filtered table.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+
+
+@contextmanager
+def spark_conf(spark: SparkSession, values: dict[str, str]):
+    """Sets SQL settings for the plans made inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -25,6 +43,13 @@ def ascii_lower(c: Column) -> Column:
     return F.when(plain, F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lets Spark cut the Arrow batches it sends to Python by bytes, unless the session says otherwise than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir). Only a local master without one gets a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
