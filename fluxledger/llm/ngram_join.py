@@ -18,9 +18,9 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
    shared path's overlap is counted once and a subtree is left when overlap plus the remaining
    lengths cannot reach the threshold.
 5. Edges whose classes are not yet in one component may hold further links. Edges of at most `FEW`
-   classes give all pairs across components. On larger ones the pivot's
-   set is the trunk of a tree: classes are joined on what their paths leave out of the trunk or add to
-   it, of which two that link must share more the farther both are from the pivot. These pairs are
+   classes give all pairs across components. On larger ones most paths follow a common trunk:
+   classes are joined on what their paths leave out of the trunk or add to
+   it, of which two that link must share more the farther both are from the trunk. These pairs are
    verified in the same way, so no link between components is missed, and no group is expanded into all its pairs.
 
 Probes with many partners are dealt out in chunks; sets of partners move once per pair, texts are
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, drop_written, has_bit, load, written
+from .common import bitmap, bounded_batches, components, drop_written, has_bit, load, written
 from .shingles import mixed, shingle_sets
 
 K = 3
@@ -49,7 +49,7 @@ BITMAP = 1 << 23
 CHUNK = 512
 FEW = 32
 #: Edges a task holds before it sends them off.
-HELD = 1 << 21
+HELD = 1 << 20
 _SALT = 0x9E3779B97F4A7C15
 
 
@@ -359,14 +359,35 @@ def _marks(tokens: str) -> list[Column]:
     return [F.expr(f"aggregate({tokens}, 0L, (m, x) -> m | if((shiftright(x, 8) & 3) = {i}, shiftleft(1L, cast(shiftright(x, 10) & 63 as int)), 0L))").alias(m) for i, m in enumerate(_MARKS)]
 
 
-def _deviations(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """How the path of each row (pivot, cls, comp) leaves its pivot's set, the trunk: n and t tokens, `a` of the trunk left out, dev: what is left out or added."""
-    trunk = sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("trunk"))
-    d = many.where("cls <> pivot").join(trunk, "pivot").join(sets, "cls")
+def _picked(many: DataFrame, count: int) -> DataFrame:
+    """Up to `count` classes of each pivot, by hash: (pivot, cls)."""
+    picks = many.groupBy("pivot").agg(F.array_distinct(F.array(*[F.min_by("cls", F.xxhash64(F.lit(i), "cls")) for i in range(count)])).alias("picks"))
+    return picks.select("pivot", F.explode("picks").alias("cls"))
+
+
+def _trunks(many: DataFrame, sets: DataFrame, count: int = 32) -> DataFrame:
+    """A path near the middle of each pivot's group, the trunk: tokens that most of `count` classes of it hold. Any path would give right results."""
+    picked = written(_picked(many, count), "ngram-picked")
+    of = written(picked.groupBy("pivot").agg(F.count("*").alias("of")), "ngram-picks")
+    tokens = picked.join(sets, "cls").select("pivot", F.explode("tokens").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("n"))
+    trunks = written(tokens.join(of, "pivot").where("2 * n > of").groupBy("pivot").agg(F.collect_list("token").alias("trunk")), "ngram-trunks")
+    drop_written(picked, of)
+    return trunks
+
+
+def _deviations(many: DataFrame, sets: DataFrame, trunks: DataFrame) -> DataFrame:
+    """How the path of each row (pivot, cls, comp) leaves the trunk of its group: n and t tokens, `a` of the trunk left out, dev: what is left out or added."""
+    d = many.join(trunks, "pivot").join(sets, "cls")
     d = d.select("pivot", "cls", "comp", F.size("tokens").alias("n"), F.size("trunk").alias("t"), F.array_except("trunk", "tokens").alias("out"), F.transform(F.array_except("tokens", "trunk"), F.bitwise_not).alias("new"))
     return d.select("pivot", "cls", "comp", "n", "t", F.size("out").alias("a"), F.concat("out", "new").alias("dev")).select("*", F.size("dev").alias("d"), *_marks("dev"))
 
 
+def _nearest(d: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, cls) of every row with the row of its group that leaves the trunk least, see _trunk_pairs."""
+    least = d.groupBy("pivot").agg(F.min_by("cls", F.struct(F.lit(percent) * F.col("n") + (100 + percent) * F.col("a"), "cls")).alias("probe"))
+    return d.select("pivot", "cls").join(written(least, "ngram-nearest"), "pivot").where("cls <> probe").select("probe", "cls")
+
+
 def _shared(percent: int) -> Column:
     """Deviations that rows x and y of one pivot must share to link; at least 1, see _trunk_pairs."""
     return F.greatest(F.lit(1), _needed(F.col("x.n"), F.col("y.n"), percent) - F.col("x.t") + F.col("x.a") + F.col("y.a"))
@@ -379,26 +400,23 @@ def _may_link(percent: int) -> Column:
     return (F.col("x.comp") != F.col("y.comp")) & _near(F.col("x.n"), F.col("y.n"), percent) & (most >= _shared(percent))
 
 
-def _more_pivots(d: DataFrame, many: DataFrame, percent: int, count: int = 16) -> DataFrame:
-    """Pairs (probe, cls) of every row with up to `count` classes that are not in their pivot's component; settles dense groups before any cross pairs."""
-    own = many.where("cls = pivot").select("pivot", F.col("comp").alias("main"))
-    far = d.join(own, "pivot").where("comp <> main")
-    picks = far.groupBy("pivot").agg(F.array_distinct(F.array(*[F.min_by("cls", F.xxhash64(F.lit(i), "cls")) for i in range(count)])).alias("picks"))
-    picked = picks.select("pivot", F.explode("picks").alias("cls")).join(d.drop("dev"), ["pivot", "cls"])
-    x, y = d.drop("dev").alias("x"), picked.alias("y")
-    pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & _may_link(percent))
-    return pairs.select(F.col("y.cls").alias("probe"), F.col("x.cls").alias("cls")).distinct()
+def _more_pivots(d: DataFrame, percent: int, count: int = 16) -> DataFrame:
+    """Pairs (probe, cls) of every row with up to `count` classes of its group, if they may link; settles dense groups before any cross pairs."""
+    picked = _picked(d.select("pivot", "cls"), count).join(d.drop("dev"), ["pivot", "cls"])
+    x, y = d.drop("dev").alias("x"), written(picked, "ngram-picked").alias("y")
+    pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.cls") != F.col("y.cls")) & _may_link(percent))
+    return pairs.select(F.col("y.cls").alias("probe"), F.col("x.cls").alias("cls"))
 
 
 def _trunk_pairs(d: DataFrame, percent: int) -> DataFrame:
     """Pairs (probe, cls) across components among the rows of _deviations.
 
-    The pivot's set is the trunk that all paths of its group share. With a trunk of t tokens, of which x and y leave
-    out a and b, the overlap is t - a - b plus the deviations they share. If t - a - b alone reached the threshold,
-    both would link with the pivot and be in one component; so x and y share at least
-    needed - (t - a - b) >= 1 deviations, and a prefix of the deviations, rarest in the group first,
-    shows every such pair. Marks of fixed size bound what two classes can share, so the join makes few rows
-    that are not links.
+    The paths of a group leave its trunk of t tokens. If x and y leave out a and b of them, their overlap is
+    t - a - b plus the deviations they share. Pairs that link without sharing any have f(x) + f(y) <= t with
+    f = a + percent * n / (100 + percent); then the row of least f links with both (_nearest), and they are in one
+    component already. All other pairs must share needed - (t - a - b) >= 1 deviations, and a prefix of the
+    deviations, rarest in the group first, shows every such pair. Marks of fixed size bound what two classes can
+    share, so the join makes few rows that are not links.
     """
     part = F.lit(percent) / (100 + percent)
     least = d.groupBy("pivot").agg(F.min(part * F.col("n") + F.col("a")).alias("least"))
@@ -422,6 +440,7 @@ def _trunk_pairs(d: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for every row of `docs`."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     watch = Observation()
     survey = texts.mapInArrow(_survey(k), "id long, n long, digest binary, d long").withColumn("row", F.monotonically_increasing_id())
@@ -446,11 +465,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_rows = written(held.join(unsettled, "edge"), "ngram-open")
     drop_written(held, unsettled)
     cross = _few_pairs(open_rows.where(F.col("members") <= FEW), percent)
+    # edges with classes in common make one group, so that a class is in one group only
     many = written(open_rows.where(F.col("members") > FEW).select("pivot", "cls", "comp").distinct(), "ngram-many")
+    group = components(many.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).select(F.col("id").alias("cls"), F.col("component").alias("pivot"))
+    many = written(many.select("cls", "comp").distinct().join(group, "cls").select("pivot", "cls", "comp"), "ngram-groups")
     if not many.isEmpty():
-        far = written(_deviations(many, sets), "ngram-deviations")
-        pivots = many.where("cls <> pivot").select(F.col("pivot").alias("probe"), "cls")
-        second = written(_more_pivots(far, many, percent).unionByName(pivots).distinct(), "ngram-second")
+        trunks = _trunks(many, sets)
+        far = written(_deviations(many, sets, trunks), "ngram-deviations")
+        second = written(_more_pivots(far, percent).unionByName(_nearest(far, percent)).distinct(), "ngram-second")
         links.append(_verify(second, sets, percent))
         comp = components(links[0].unionByName(links[1]))
         now = comp.select(F.col("id").alias("cls"), F.col("component").alias("now"))
