@@ -7,18 +7,23 @@ the target. A binary tree over the output shards splits the vector of draws: eac
 left half as many draws as its shards need, divided among sources by a multivariate
 hypergeometric draw, and the rest goes right. Every node is seeded by its path, so each shard
 finds its quotas alone by walking down from the root and reruns agree; nothing is gathered.
-Shards then own disjoint ranges of each source's permuted draws, and `shuffle_key` orders a shard.
+Shards then own disjoint ranges of each source's permuted draws. `write_shards` lands them, each one
+shuffled locally; their number follows the square root of the draws, so shards and their size both
+grow with the input.
 
 A source's permutation is a four-round Feistel network with cycle walking, computed from block
-numbers; no sort of blocks takes place, and a hot source is spread over all tasks.
+numbers; no sort of blocks takes place, and a hot source is spread over all tasks. One row a source
+reaches the driver.
 
 Defined results: null text counts 0 words and is never drawn; null source is a source of its own,
-last in order; repeated rows are separate documents; an empty table gives no rows.
+last in order; repeated rows are separate documents; rows equal in source, id, size and text share
+their places in any order; columns of other names are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load, written
+from .common import WORD, drop_written, load, written
 
 BLOCK_WORDS = 64
 MAX_REPEATS = 3
 SEED = 20240229
-#: Above this population a hypergeometric draw uses its normal approximation.
-EXACT_DRAW = 900_000_000
+#: Populations from here on are beyond numpy's sampler.
+NUMPY_DRAW = 900_000_000
 
 
 def water_fill(sizes: list[int], weights: list[int], cap: int = MAX_REPEATS) -> list[float]:
@@ -68,6 +73,37 @@ def _rng(seed: int, lo: int, hi: int) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{lo}:{hi}".encode()).digest()[:8], "big"))
 
 
+def _log_factorial(k: int) -> np.longdouble:
+    """By Stirling's series, in extended precision; counts from 0."""
+    if k < 16:
+        return np.log(np.longdouble(math.factorial(k)))
+    x = np.longdouble(k)
+    return (x + 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi * np.longdouble(1)) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def large_hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """A hypergeometric draw at any size by ratio-of-uniforms rejection (Stadlober 1990)."""
+    total, few, many = good + bad, min(good, bad), max(good, bad)
+    m = min(take, total - take)
+    p = few / total
+    middle, spread = m * p + 0.5, math.sqrt((total - m) * (take / (total - 1)) * p * (1 - p) + 0.5)
+    # fixed values: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e)
+    width = 1.7155277699214135 * spread + 0.8989161620588988
+    mode = (m + 1) * (few + 1) // (total + 2)
+    weigh = lambda z: _log_factorial(z) + _log_factorial(few - z) + _log_factorial(m - z) + _log_factorial(many - m + z)
+    top, end = weigh(mode), min(min(m, few) + 1, math.floor(middle + 16 * spread))
+    while True:
+        x, y = 1 - rng.random(), rng.random()
+        w = middle + width * (y - 0.5) / x
+        if not 0 <= w < end or m - many > w:
+            continue
+        z = math.floor(w)
+        if 2 * math.log(x) <= top - weigh(z):
+            break
+    z = m - z if good > bad else z
+    return good - z if m < take else z
+
+
 def split_draws(colors: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """A multivariate hypergeometric draw of `take` from the counts in `colors`."""
     out, rest, left = np.zeros_like(colors), int(colors.sum()), int(take)
@@ -76,13 +112,10 @@ def split_draws(colors: np.ndarray, take: int, rng: np.random.Generator) -> np.n
         if left and c:
             if rest == 0:
                 got = left
-            elif c + rest < EXACT_DRAW:
+            elif c + rest < NUMPY_DRAW:
                 got = int(rng.hypergeometric(c, rest, left))
             else:
-                p = c / (c + rest)
-                sd = (left * p * (1 - p) * (c + rest - left) / max(1, c + rest - 1)) ** 0.5
-                got = round(rng.normal(left * p, sd))
-            got = min(c, left, max(0, left - rest, got))
+                got = large_hypergeometric(c, rest, left, rng)
             out[i], left = got, left - got
     return out
 
@@ -103,8 +136,10 @@ def shard_quotas(draws: np.ndarray, shard: int, shards: int, seed: int) -> tuple
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with size and first word number within their source, sources with size and order)."""
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("th"))
+    sizes = written(sizes, "mix-counted")
     # a range per task cuts a hot source into many; places follow from sums per range
     ranged = written(sizes.repartitionByRange("source", "id", "size", "th").withColumn("range", F.spark_partition_id()), "mix-sizes")
+    drop_written(sizes)
     part = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))).drop("in_range")
@@ -115,11 +150,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed, ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
-def plan_sources(sources: DataFrame, weights=lambda i: (i - 1) % 3 + 1, block_words: int = BLOCK_WORDS, max_sources: int = 1_000_000) -> DataFrame:
-    """source, source_no, source_size, target, blocks, draws: one row a source, made on the driver (at most `max_sources` rows)."""
-    rows = sources.orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+def plan_sources(sources: DataFrame, weights=lambda i: (i - 1) % 3 + 1, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """source, source_no, source_size, target, blocks, draws: one row a source, made on the driver."""
+    rows = sources.orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = [r["source_size"] for r in rows]
     targets = water_fill(sizes, [weights(i + 1) for i in range(len(rows))]) if sum(sizes) else [0.0] * len(rows)
     blocks = [-(-s // block_words) for s in sizes]
@@ -128,27 +161,26 @@ def plan_sources(sources: DataFrame, weights=lambda i: (i - 1) % 3 + 1, block_wo
     return sources.sparkSession.createDataFrame(out, "source string, source_no int, source_size long, target double, blocks long, draws long")
 
 
-def mix(placed: DataFrame, plan: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED, draws_per_shard: int = 1 << 20) -> DataFrame:
-    """The mixture as pieces: shard, shuffle_key, id, source, first_word, piece_start (word of the document), piece_words, epoch.
-
-    Write it with repartition("shard") and sortWithinPartitions("shard", "shuffle_key").
-    """
+def mix(placed: DataFrame, plan: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mixture as pieces: shard, shuffle_key, id, source_no, first_word, piece_start (word of the document), piece_words, epoch."""
     spark = placed.sparkSession
     rows = plan.orderBy("source_no").collect()
     draws = np.array([r["draws"] for r in rows], np.int64)
-    shards = shards or max(1, -(-int(draws.sum()) // draws_per_shard))
-    span = [max(1, -(-int(d) // shards)) for d in draws]  # draws per bucket of the range join
+    shards = shards or max(1, math.isqrt(int(draws.sum())) // 4)
+    span = np.maximum(1, -(-draws // shards))  # draws per bucket of the range join
 
     def quotas(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for shard in part["id"]:
                 start, count = shard_quotas(draws, int(shard), shards, seed)
                 used = np.flatnonzero(count)
-                yield pd.DataFrame({"shard": np.int64(shard), "source_no": used.astype(np.int32), "q_from": start[used], "q_to": start[used] + count[used]})
+                lo, hi = start[used], start[used] + count[used]
+                first, last = lo // span[used], (hi - 1) // span[used]
+                row = np.repeat(np.arange(len(used)), last - first + 1)
+                bucket = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
+                yield pd.DataFrame({"shard": np.int64(shard), "source_no": used[row].astype(np.int32), "q_from": lo[row], "q_to": hi[row], "bucket": bucket})
 
-    by = F.element_at(F.array(*[F.lit(x).cast("long") for x in span] or [F.lit(1).cast("long")]), F.col("source_no") + 1)
-    owned = spark.range(0, shards, 1, min(shards, 200)).mapInPandas(quotas, "shard long, source_no int, q_from long, q_to long")
-    owned = owned.select("*", F.explode(F.sequence(F.floor(F.col("q_from") / by), F.floor((F.col("q_to") - 1) / by))).alias("bucket"))
+    owned = spark.range(0, shards, 1, min(shards, 200)).mapInPandas(quotas, "shard long, source_no int, q_from long, q_to long, bucket long")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -170,22 +202,27 @@ def mix(placed: DataFrame, plan: DataFrame, shards: int | None = None, block_wor
                     draw = epoch * b[row] + _permuted(block, b[row], salt)
                     ok = draw < total
                     r = row[ok]
-                    yield pd.DataFrame({"id": part["id"].iloc[r].array, "source_no": no[ok], "first_word": first[r], "piece_start": (begin - first[row])[ok], "piece_words": words[ok], "epoch": np.int32(epoch), "draw": draw[ok]})
+                    yield pd.DataFrame({"id": part["id"].iloc[r].array, "source_no": no[ok], "first_word": first[r], "piece_start": (begin - first[row])[ok], "piece_words": words[ok], "epoch": np.int32(epoch), "draw": draw[ok], "bucket": draw[ok] // span[no[ok]]})
 
     known = placed.where("size > 0").join(F.broadcast(plan) if len(rows) <= 10_000 else plan, placed["source"].eqNullSafe(plan["source"])).select("id", "source_no", "size", "first_word", "blocks", "draws")
     id_type = placed.schema["id"].dataType.simpleString()
-    pieces = known.mapInPandas(cut, f"id {id_type}, source_no int, first_word long, piece_start long, piece_words long, epoch int, draw long")
-    pieces = pieces.withColumn("bucket", F.floor(F.col("draw") / by))
+    pieces = known.mapInPandas(cut, f"id {id_type}, source_no int, first_word long, piece_start long, piece_words long, epoch int, draw long, bucket long")
     on = ["source_no", "bucket"]
     dealt = pieces.join(owned, on).where((F.col("draw") >= F.col("q_from")) & (F.col("draw") < F.col("q_to")))
     return dealt.select("shard", F.xxhash64(F.lit(seed), "source_no", "draw").alias("shuffle_key"), "id", "source_no", "first_word", "piece_start", "piece_words", "epoch")
 
 
+def write_shards(pieces: DataFrame) -> DataFrame:
+    """Lands the pieces of mix(), every shard whole in one file and in its own random order (`place`), and reads them back."""
+    shuffled = pieces.repartition("shard").sortWithinPartitions("shard", "shuffle_key", "source_no", "first_word", "piece_start")
+    return written(shuffled.withColumn("place", F.monotonically_increasing_id()).drop("shuffle_key"), "mix-shards")
+
+
 def mixed_sizes(docs: DataFrame, **names: str) -> DataFrame:
-    """id, source, size, source_size, target, taken and th (a hash of the text) for every document."""
+    """id, source, size, source_size, target, taken and th (a hash of the text) for every document; taken is counted in the shards written."""
     placed, sources = measured(docs, **names)
     plan = plan_sources(sources)
-    taken = mix(placed, plan).groupBy("id", "source_no", "first_word").agg(F.sum("piece_words").alias("taken"))
+    taken = write_shards(mix(placed, plan)).groupBy("id", "source_no", "first_word").agg(F.sum("piece_words").alias("taken"))
     p, small = plan.select("source", "source_no", "source_size", "target"), plan.count() <= 10_000
     rows = placed.join(F.broadcast(p) if small else p, placed["source"].eqNullSafe(p["source"])).select("id", placed["source"], "source_no", "size", "th", "first_word", "source_size", "target")
     t = taken.withColumnRenamed("id", "t_id").withColumnRenamed("source_no", "t_no").withColumnRenamed("first_word", "t_first")
