@@ -13,16 +13,19 @@ have a match are compared at all:
 2. Runs whose whole context occurs again are matched as they are (counted with map-side
    combination, so a group of copies is never gathered).
 3. Runs that share an anchor but differ in context (the edges of shared passages) are opened into
-   their single suffixes, one run per distinct context, inside a task per anchor; anchors with more
-   than `task_contexts` contexts are opened into rows instead and grouped by prefix. In the order of their `min_len`-byte
-   prefixes, ties by position, the previous smaller position of a suffix is an earlier match of at
-   least `min_len` and the next one a later match: longest previous and next factors reach
-   `min_len` exactly where such a neighbour of equal prefix exists.
-
-Prefixes and contexts are compared by 64-bit fingerprints. Texts are hashed in pieces of 1 MB and
+   their single suffixes, one run per distinct context, inside a task per anchor. There the suffixes are
+   sorted by their bytes (prefix doubling), and in that order the previous and the next smaller place of
+   each suffix give its longest previous factor, on places counted backwards its longest next factor.
+   A suffix goes if that length reaches `min_len`. Anchors with more than `task_contexts` contexts are opened
+   into rows instead and grouped by anchor and prefix, where of equal prefixes all but the first have a previous factor.
+
+Factors are compared on bytes in 3; whole contexts (2) and prefixes of crowded anchors by two 64-bit
+hashes together, that of the anchor and that of the bytes, so a wrong match among n runs has odds of about
+n ** 2 / 2 ** 129 (3e-14 at 10 ** 12 runs). Texts are hashed in pieces of 1 MB and
 only affected texts move; a bitmap of fixed size (1 MB) filters these before the exact join.
 Defined results: null is the empty text; texts under `min_len` bytes are kept whole; rows that
-repeat an id are separate documents (equal ones are copies of each other).
+repeat an id are separate documents (equal ones are copies of each other); other columns, whatever their names,
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, drop_written, has_bit, load, written
+from .common import bitmap, bounded_batches, drop_written, has_bit, load, written
 from .shingles import _BYTES, _Tables, mixed
 
 MIN_LEN = 400
@@ -159,17 +162,79 @@ def _suffixes(raw: bytes, min_len: int) -> np.ndarray:
     return _range_hash(sums, inverse, a, a + min_len)
 
 
-def previous_and_next(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes given in text order: whether an earlier and whether a later one has the same prefix.
+def suffix_order(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of `data` in the order of their suffixes' first `depth` bytes (ties by place), and the ranks by 1, 2, 4, ... bytes.
 
-    In suffix order (by prefix, ties by place) these are the previous and the next smaller position
-    whose common prefix reaches the length that the fingerprints stand for.
+    A suffix stops at end[place], where its text ends. Prefix doubling on the bytes themselves.
+    """
+    place = np.arange(len(data))
+    ranks, width = [data.astype(np.int64) + 1], 1
+    while True:
+        rank = ranks[-1]
+        after = np.zeros(len(data), np.int64)
+        inside = place + width < end
+        after[inside] = rank[place[inside] + width]
+        pair = rank * (int(rank.max(initial=0)) + 1) + after
+        order = np.argsort(pair, kind="stable")
+        width *= 2
+        if width >= depth:
+            return order, ranks
+        new = np.cumsum(np.concatenate([[True], pair[order][1:] != pair[order][:-1]])) if len(data) else order
+        rank = np.empty(len(data), np.int64)
+        rank[order] = new
+        ranks.append(rank)
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, end: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a[i] and b[i], at most 2 ** len(ranks) - 1, by descending powers of two."""
+    a, b, length = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    stop_a, stop_b = end[a], end[b]
+    for i in range(len(ranks) - 1, -1, -1):
+        fits = (a + (1 << i) <= stop_a) & (b + (1 << i) <= stop_b)
+        same = np.zeros(len(a), bool)
+        same[fits] = ranks[i][a[fits]] == ranks[i][b[fits]]
+        step = same.astype(np.int64) << i
+        a, b, length = a + step, b + step, length + step
+    return length
+
+
+def _factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each entry of a suffix order; lcp[i] belongs to entries i - 1 and i.
+
+    The previous and the next smaller place in the order are the nearest entries that start earlier in the text; the
+    longer common prefix of the two is the longest previous factor.
+    """
+    lpf = [0] * len(order)
+    stack: list[tuple[int, int, int]] = []  # entry, its place, common prefix with the entry below it (its previous smaller place)
+    for i, (here, common) in enumerate(zip(order.tolist(), lcp.tolist())):
+        while stack and stack[-1][1] > here:
+            entry, _, below = stack.pop()  # `here` is its next smaller place
+            lpf[entry] = max(lpf[entry], below, common)
+            common = min(common, below)
+        if stack:
+            lpf[i] = common
+        stack.append((i, here, common if stack else 0))
+    return np.array(lpf, np.int64)
+
+
+def previous_and_next(data: np.ndarray, end: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of `data` whether its longest previous and its longest next factor reach `min_len`.
+
+    Only stretches of the suffix order whose neighbours share `min_len` bytes are walked; elsewhere every
+    factor is shorter. Lengths count up to 2 ** bits - 1 >= min_len.
     """
-    order = np.argsort(prints, kind="stable")
-    same = prints[order][1:] == prints[order][:-1]
-    earlier, later = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
+    earlier, later = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    order, ranks = suffix_order(data, end, min_len + 1)
+    order = order[order + min_len <= end[order]]
+    if len(order) < 2:
+        return earlier, later
+    lcp = np.concatenate([[0], common_prefixes(order[:-1], order[1:], end, ranks)])
+    near = lcp >= min_len
+    walk = near | np.append(near[1:], False)
+    order, lcp = order[walk], np.where(near, lcp, 0)[walk]
+    earlier[order] = _factors(order, lcp) >= min_len
+    # the same on places counted from the end: longest next factors
+    later[order] = _factors(len(data) - order, lcp) >= min_len
     return earlier, later
 
 
@@ -181,10 +246,14 @@ def _matched_runs(min_len: int, keep: str):
         windows, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            prints = [_suffixes(raw, min_len) for *_, raw in held]
-            sizes = np.array([len(p) for p in prints], np.int64)
-            earlier, later = previous_and_next(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
+            length = np.array([len(raw) for *_, raw in held], np.int64)
+            data = np.frombuffer(b"".join(raw for *_, raw in held), np.uint8)
+            begin = np.cumsum(length) - length
+            earlier, later = previous_and_next(data, np.repeat(begin + length, length), min_len)
             hit = earlier if keep == "first" else earlier | later
+            # places that are windows of their run
+            sizes = length - min_len + 1
+            hit = hit[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] if len(held) else hit
             row = np.repeat(np.arange(len(held)), sizes)
             at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             idx = np.flatnonzero(hit)
@@ -218,7 +287,7 @@ def _suffix_rows(min_len: int):
                 sizes = np.array([len(p) for p in prints], np.int64)
                 take = pa.array(np.repeat(np.arange(a, a + len(prints)), sizes))
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "rk", "th")), pa.array(batch.column("lo").to_numpy()[a : a + len(prints)].repeat(sizes) + at), pa.array(np.concatenate(prints).view(np.int64))], ["id", "rk", "th", "pos", "h"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("key", "id", "rk", "th")), pa.array(batch.column("lo").to_numpy()[a : a + len(prints)].repeat(sizes) + at), pa.array(np.concatenate(prints).view(np.int64))], ["key", "id", "rk", "th", "pos", "h"])
 
     return run
 
@@ -253,6 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep not in ("first", "none") or not 1 <= gram <= min_len <= 4096:
         raise ValueError("keep is first or none, and 1 <= gram <= min_len <= 4096")
     spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # rows are known by two hashes, of the text and of id and text: rows equal in both are equal rows
@@ -294,9 +364,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = contexts if alone else contexts.join(crowded, "key", "left_anti")
     matched = few.repartition("key").sortWithinPartitions("key", "id", "th", "rk", "lo").mapInArrow(_matched_runs(min_len, keep), "rk long, th long, lo long, hi long")
     if not alone:
-        suffixes = written(contexts.join(crowded, "key", "left_semi").mapInArrow(_suffix_rows(min_len), f"id {id_type}, rk long, th long, pos long, h long"), "lpf-suffixes")
+        suffixes = written(contexts.join(crowded, "key", "left_semi").mapInArrow(_suffix_rows(min_len), f"key long, id {id_type}, rk long, th long, pos long, h long"), "lpf-suffixes")
         least = [F.min(F.struct("id", "th", "rk", "pos")).alias("least")] if keep == "first" else []
-        hits = suffixes.join(suffixes.groupBy("h").agg(F.count("*").alias("n"), *least).where("n > 1"), "h")
+        again = written(suffixes.groupBy("key", "h").agg(F.count("*").alias("n"), *least).where("n > 1"), "lpf-repeated")
+        hits = suffixes.join(again, ["key", "h"])
         if keep == "first":
             hits = hits.where(F.struct("id", "th", "rk", "pos") > F.col("least"))
         matched = matched.unionByName(hits.select("rk", "th", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
