@@ -6,9 +6,12 @@ one linear SVM per pair of languages votes. All machines are trained here, on at
 `max_training_docs` labelled documents spread evenly over the languages, which is the only
 bounded sample; prediction reads every text whole, in pieces, so memory does not follow its length.
 
-Defined results: text that is null or has no letter gives `und` with score 0, and so does
-everything if no labelled row exists; a language outside FAMILIES is a family of its own; lang,
-source and id never enter a prediction, so equal texts get equal predictions.
+Defined results: text that is null or has no letter (str.isalpha) gives `und` with score 0, and so
+does everything if no labelled row exists; a language outside FAMILIES is a family of its own; lang,
+source and id never enter a prediction, so equal texts get equal predictions. Repeated rows are
+predicted row by row and count once in training; equal votes go to the greater support, then to the
+language that sorts first; columns named lang_pred, score or odds are replaced, others pass through;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import bounded_batches, load
 
 DIMS = 1 << 12
 #: Families of closely related languages by ISO 639-1 code.
@@ -61,13 +64,15 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
     """Raw bytes of every text, None where there is no letter."""
     for v in column:
         s = v.as_py()
-        yield s.encode() if s is not None and _LETTER.search(s) else None
+        # what the pattern finds may be a digit like a raised two, so the character decides
+        yield s.encode() if s is not None and any(m.group().isalpha() for m in _LETTER.finditer(s)) else None
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """Linear SVM (squared hinge, L2) by accelerated full-batch gradient steps; classes weigh the same. y is +-1."""
+def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 120, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, L2) by accelerated full-batch gradient steps; classes weigh the same, rows by their share of it. y is +-1."""
     x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
+    share = np.ones(len(y)) if share is None else share
+    weight = share * np.where(y > 0, 0.5 / max(1e-9, share[y > 0].sum()), 0.5 / max(1e-9, share[y < 0].sum())) * c
     weight = weight.astype(np.float32)
     w, b, pw, pb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
     lam = np.float32(1e-3)
@@ -126,14 +131,15 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_training_docs: int = 2000) -> Model | None:
-    """Fits on about `max_training_docs` rows, equally many for each language, chosen by a hash of the id."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("train"), id_col).alias("h")).where("lang is not null and text is not null")
+    """Fits on about `max_training_docs` rows, about equally many for each language, chosen by a hash of id and text; repeated rows count once."""
+    bounded_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("train"), id_col, text_col).alias("h")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     if not counts:
         return None
     each = max(1, max_training_docs // len(counts))
     rate = F.coalesce(*[F.when(F.col("lang") == v, F.lit(min(1.0, each / n))) for v, n in counts.items()])
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang").limit(2 * max_training_docs)
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000).dropDuplicates(["h", "lang"]).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,17 +156,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and odds to every row of `docs` (columns of these names are replaced)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "odds")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double, odds double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [("und", 0.0, 0.0) if t is None or model is None else model.predict(features(t)) for t in _texts(batch.column(text_col))]
-            columns = [batch.column(c) for c in kept] + [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "odds"])
-
-    return docs.select(*kept).mapInArrow(run, schema)
+    """Adds lang_pred, score and odds to every row of `docs` (columns of these names are replaced). Only the text goes to Python."""
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("lang_pred string, score double, odds double")
+    def said(texts: pa.Array) -> pa.Array:
+        rows = [("und", 0.0, 0.0) if t is None or model is None else model.predict(features(t)) for t in _texts(texts)]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "odds"])
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "odds", "_said")]
+    told = docs.withColumn("_said", said(F.col(text_col)))
+    return told.select(*[F.col(f"`{c}`") for c in kept], "_said.lang_pred", "_said.score", "_said.odds")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -3,12 +3,15 @@
 Heuristic labellers vote good, bad or nothing on every whole document. The combinations of votes
 are counted over all documents (at most 3 ** labellers rows), expectation-maximisation estimates
 how each labeller votes on good and on bad documents, and the posterior of a combination labels
-its documents. A linear scorer over hashed byte n-grams is then trained on posterior labels of at
-most about `max_training_docs` documents, half of them from the less common side where it has
-enough (this is the only bounded sample), and scores every whole text.
+its documents. A linear scorer over hashed byte n-grams is then trained on the posteriors of at
+most about `max_training_docs` distinct texts, half of them from the less common side where it has
+enough (this is the only bounded sample): each text counts for good by its posterior and for bad by
+the rest. The scorer scores every whole text.
 
 Defined results: null, empty or word-less texts get posterior and score 0 and are not kept; equal
-texts get equal scores; no label column is read.
+texts get equal scores, repeated rows count in the vote counts and once in the sample; a posterior of
+exactly 0.5 counts as good; a score equal to the threshold is kept; other columns, labels too, are not read and
+not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import bounded_batches, load
 from .langid import DIMS, features, svm
 from .shingles import word_hashes
 
@@ -34,6 +37,8 @@ FUNCTION_WORDS = (
 _STOP = np.unique(word_hashes(pa.array([" ".join(FUNCTION_WORDS)]))[0])
 LABELLERS = ("symbols", "capitals", "repeated_words", "exclamations", "table_bars", "function_words", "word_length", "line_ends")
 GOOD, BAD, NONE = 2, 1, 0
+#: Documents that the prior votes of each labeller on each side are worth, whatever the size of the table.
+PRIOR_DOCS = 40
 
 
 def _vote(value: float, good: bool, bad: bool) -> int:
@@ -86,7 +91,7 @@ def label_model(counts: dict[int, int], rounds: int = 200, prior_good: float = 0
         for side, p in enumerate((post, 1 - post)):
             mass = weight * p
             for j in range(len(LABELLERS)):
-                seen = np.array([mass[said[:, j] == v].sum() for v in (NONE, BAD, GOOD)]) + prior[side] * (0.05 * weight.sum() + 1)
+                seen = np.array([mass[said[:, j] == v].sum() for v in (NONE, BAD, GOOD)]) + prior[side] * PRIOR_DOCS
                 log[:, side] += np.log(seen / seen.sum())[said[:, j]]
             log[:, side] += np.log(share[side])
         new = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -60, 60)))
@@ -113,14 +118,16 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, int]]
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training_docs: int = 2000, threshold: float = 0.5) -> DataFrame:
     """id, votes, posterior, score and kept for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([v for *_, v in _documents(batch)], pa.int32())], ["h", "votes"])
+            codes, n = np.unique(np.array([v for *_, v in _documents(batch)], np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["votes", "n"])
 
-    ballots = written(texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(cast, "h long, votes int"), "quality-votes")
-    counts = {r["votes"]: r["count"] for r in ballots.groupBy("votes").count().collect()}
+    ballots = texts.select("text").mapInArrow(cast, "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    counts = {r["votes"]: r["n"] for r in ballots.collect()}
     posterior = label_model(counts) if counts else {}
     bad = sum(n for c, n in counts.items() if posterior[c] < 0.5 and c)
     good = sum(n for c, n in counts.items() if posterior[c] >= 0.5)
@@ -134,7 +141,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     most = max(rate.values())
     u = F.pmod(F.xxhash64(F.lit("quality"), "text"), F.lit(1 << 30)) / (1 << 30)
-    got = texts.select("text", u.alias("u")).where(F.col("u") < most).mapInArrow(sample, "p double, f binary").limit(2 * max_training_docs).collect()
+    got = texts.select("text", u.alias("u")).where(F.col("u") < most).dropDuplicates(["u"]).mapInArrow(sample, "p double, f binary").collect()
     got.sort(key=lambda r: (r["p"], bytes(r["f"])))
     w, b = np.zeros(DIMS + 2), 0.0
     if got and bad and good:
@@ -142,7 +149,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         p = np.array([r["p"] for r in got])
         mean, sd = x.mean(0), x.std(0) + 1e-5
         scale = sd * np.sqrt(x.shape[1])
-        w, b = svm(((x - mean) / scale).astype(np.float32), np.where(p >= 0.5, 1.0, -1.0))
+        z = ((x - mean) / scale).astype(np.float32)
+        w, b = svm(np.concatenate([z, z]), np.repeat([1.0, -1.0], len(z)), share=np.concatenate([p, 1 - p]))
         w, b = w / scale, b - float((w / scale) @ mean)
     elif good:
         b = 1.0
