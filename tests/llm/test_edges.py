@@ -122,9 +122,29 @@ def test_suffix_dedup(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_previous_and_next():
-    earlier, later = suffix_dedup.previous_and_next(np.array([5, 3, 5, 5, 9], np.uint64))
-    assert earlier.tolist() == [False, False, True, True, False] and later.tolist() == [True, False, True, False, False]
+def test_longest_previous_factors():
+    """Suffix order, previous and next smaller places against a direct search, over several texts of few letters."""
+    rnd = random.Random(11)
+    for min_len in (1, 2, 5):
+        texts = [bytes(rnd.choices(b"ab", k=rnd.randint(0, 40))) for _ in range(6)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        end = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        at = [bytes(data[i : i + min_len]) if i + min_len <= end[i] else None for i in range(len(data))]
+        earlier, later = suffix_dedup.previous_and_next(data, end, min_len)
+        assert earlier.tolist() == [x is not None and x in at[:i] for i, x in enumerate(at)]
+        assert later.tolist() == [x is not None and x in at[i + 1 :] for i, x in enumerate(at)]
+
+
+def test_factor_lengths():
+    data = np.frombuffer(b"abaababaab", np.uint8)
+    end = np.full(len(data), len(data))
+    order, ranks = suffix_dedup.suffix_order(data, end, 16)
+    assert order.tolist() == sorted(range(10), key=lambda i: bytes(data[i:]))
+    lcp = np.concatenate([[0], suffix_dedup.common_prefixes(order[:-1], order[1:], end, ranks)])
+    got = dict(zip(order.tolist(), suffix_dedup._factors(order, lcp).tolist()))
+    text = bytes(data)
+    want = {i: max([n for j in range(i) for n in range(len(text) - i + 1) if text[i : i + n] == text[j : j + n]], default=0) for i in range(10)}
+    assert got == want
 
 
 def test_language(docs, none):
@@ -224,7 +244,7 @@ def test_warc_segments(spark):
     parts = [block[a : a + 40] for a in range(0, len(block), 40)]
     rec = lambda o, i, total, b: (f"{o}{i}", "response" if i == 1 else "continuation", 1, None, None, None, i, None if i == 1 else f"{o}1", total, b, None)
     rows = [rec("ok", i, len(block) if i == len(parts) else None, p) for i, p in enumerate(parts, 1)][::-1] + [rec("gap", i, len(block), p) for i, p in enumerate(parts, 1) if i != 2] + [rec("len", i, 7, p) for i, p in enumerate(parts, 1)]
-    got = {r["record_id"]: r for r in warc.payloads(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()}
+    got = {r["record_id"]: r for r in warc.reassembled(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()}
     assert bytes(got["ok1"]["payload"]) == b"payload" * 9
     assert "missing" in got["gap1"]["error"] and "total length" in got["len1"]["error"]
 
