@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import partition_for
+from .sources.log import stored
+from .sources.scratch import once
+from .sources.sink import number_rows, write_log
 
 PARTITIONS = 6
 BATCH = 8
@@ -19,22 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored log of the events topic (STORED_SCHEMA and event_id)."""
+def build_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the events topic (STORED_SCHEMA and event_id), made from the events table."""
     e = table(spark, sf_dir, "events")
     key = F.when(F.col("event_id") % 37 != 0, F.col("user_id").cast("string"))
     # a user's partition is hashed once, not once per event
     users = e.select("user_id").distinct().withColumn("p", partition_for(F.col("user_id").cast("string"), PARTITIONS))
     e = e.join(users, "user_id").withColumn("key", key).withColumn("partition", F.when(F.col("key").isNull(), 0).otherwise(F.col("p")))
-    order = Window.partitionBy("partition").orderBy("ts", "event_id")
-    e = e.withColumn("record_offset", F.row_number().over(order).cast("long") - 1)
-    n = F.count("*").over(Window.partitionBy("partition"))
+    e, _ = number_rows(e, ["partition"], ["ts", "event_id"], "record_offset")
+    e = e.join(F.broadcast(e.groupBy("partition").agg(F.count("*").alias("n"))), "partition")
     cents = F.round(F.col("value") * 100).cast("long")
     k = F.get_json_object("props", "$.k")
     value = F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(', "event_type": "'), F.col("event_type"), F.lit('", "cents": '), cents, F.lit(', "k": '), k, F.lit("}"))
     batch = F.expr(f"record_offset div {BATCH}")
     e = e.withColumns({
-        "topic_id": F.lit(1), "n": n, "batch": batch, "body": F.when(F.col("event_id") % 53 != 0, value),
+        "topic_id": F.lit(1), "batch": batch, "body": F.when(F.col("event_id") % 53 != 0, value),
         "timestamp": F.when(F.col("event_id") % 101 == 0, F.col("ts") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")),
     })
     has_pid = F.col("batch") % 3 != 0
@@ -52,6 +54,18 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log of the events topic: written once a session, partitioned by topic and partition, in offset order."""
+    return stored(spark, once(spark, (sf_dir, "events-log"), lambda path: write_log(build_events_log(spark, sf_dir), path)))
+
+
+def log_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The stored log with its stored side tables: partitions, abort index, open transactions (small tables that a log keeps beside its records)."""
+    log = events_log(spark, sf_dir)
+    made = [(partitions, "events-partitions"), (aborted, "events-aborted"), (open_transactions, "events-open")]
+    return log, *[spark.read.parquet(once(spark, (sf_dir, name), lambda path, f=f: f(log).coalesce(1).write.parquet(path))) for f, name in made]
+
+
 _MUL = "(({x}) * 1540483477) % 4294967296"
 
 
@@ -142,7 +156,7 @@ ORACLE_PARTS = ORACLE_LOG + PARTITION_CTES
 ORACLE_ALL = ORACLE_PARTS + ABORT_CTES
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payment events of the incident demo: order_id, amount_cents, version, charged_at, partition, record_offset.
 
     Orders are charged at their date plus seconds derived from the key; inside one month every
@@ -158,6 +172,15 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("partition", "order_id", "customer", "amount_cents", "version", "charged_at", "again")
 
 
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored payment log, written once a session in the order of time, so a window of time reads few row groups."""
+    def write(path: str) -> None:
+        rows = build_payments(spark, sf_dir)
+        rows.repartitionByRange("charged_at").sortWithinPartitions("charged_at").write.parquet(path)
+
+    return spark.read.parquet(once(spark, (sf_dir, "payments"), write))
+
+
 PAYMENT_CTES = f"""
 p0 AS (
   SELECT o_orderkey AS order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents, o_orderdate + to_seconds(o_orderkey * 7919 % 86400) AS t0, o_custkey AS customer FROM orders

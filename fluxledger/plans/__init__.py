@@ -1,8 +1,8 @@
 """Registered queries with their oracle SQL, by area."""
 
-from . import admin, cdc, groups, incident, log_queries, maintenance, share, transactions
+from . import admin, cdc, groups, incident, log_queries, maintenance, mappings, share, topics, transactions
 
-MODULES = (incident, log_queries, transactions, maintenance, cdc, groups, share, admin)
+MODULES = (incident, log_queries, transactions, maintenance, cdc, groups, share, admin, topics, mappings)
 
 
 def queries() -> dict:

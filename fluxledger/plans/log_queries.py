@@ -24,8 +24,8 @@ def _sql(rest: str, head: str = f"SELECT {_COLS.replace('leader_epoch', 'l.leade
 
 
 def _read(spark: SparkSession, sf_dir: str, **bounds) -> DataFrame:
-    log = fx.events_log(spark, sf_dir)
-    return src.read_log(log, fx.partitions(log), fx.aborted(log), fx.open_transactions(log), **bounds).select(*_COLS.split(", "))
+    log, parts, aborted, open_txns = fx.log_state(spark, sf_dir)
+    return src.read_log(log, parts, aborted, open_txns, **bounds).select(*_COLS.split(", "))
 
 
 @query("log_read_all", _sql(_COMMITTED))
@@ -53,6 +53,15 @@ def read_offsets(spark, sf_dir):
     return _read(spark, sf_dir, from_offset=5, to_offset=80)
 
 
+_ALL_COLS = _COLS.replace("value,", "value, header_keys, header_values,").replace("leader_epoch", "l.leader_epoch")
+
+
+@query("log_read_all_columns", _sql(_COMMITTED, f"SELECT {_ALL_COLS}"))
+def read_all_columns(spark, sf_dir):
+    """All thirteen columns of a reader, headers too."""
+    return src.read_log(*fx.log_state(spark, sf_dir))
+
+
 @query("log_read_clamped", _sql(_UNCOMMITTED + " AND record_offset < 12"))
 def read_clamped(spark, sf_dir):
     return _read(spark, sf_dir, from_offset=-10, to_offset=12, isolation="read_uncommitted")
@@ -91,6 +100,17 @@ def read_out_of_order(spark, sf_dir):
     return rows.where((F.col("timestamp") < F.to_timestamp_ntz(F.lit(_T1))) | (F.col("timestamp") >= F.to_timestamp_ntz(F.lit(_T2))))
 
 
+_SHIFT = "(SELECT ts - INTERVAL 55 MINUTE FROM events WHERE event_id = 101)"
+
+
+@query("log_read_shifted_timestamps", fx.ORACLE_ALL + f", ft AS (SELECT partition, min(record_offset) AS f FROM log WHERE timestamp >= {_SHIFT} GROUP BY partition) SELECT partition, record_offset, timestamp FROM log JOIN ft USING (partition) JOIN lso USING (partition) WHERE NOT is_control AND record_offset >= log_start_offset AND record_offset >= f AND timestamp < {_SHIFT}")
+def read_shifted(spark, sf_dir):
+    """Records behind the offset of a time whose own timestamp (an hour early for some) lies before it."""
+    at = fx.table(spark, sf_dir, "events").where("event_id = 101").select((F.col("ts") - F.expr("INTERVAL 55 MINUTE")).cast("string")).first()[0]
+    rows = _read(spark, sf_dir, from_time=at, isolation="read_uncommitted").where(F.col("timestamp") < F.lit(at).cast("timestamp_ntz"))
+    return rows.select("partition", "record_offset", "timestamp")
+
+
 @query("log_read_max_records", _sql(_COMMITTED + " ORDER BY partition, record_offset LIMIT 250"))
 def read_max(spark, sf_dir):
     return _read(spark, sf_dir, max_records=250)
@@ -120,6 +140,12 @@ def headers_unnest_all(spark, sf_dir):
     return fx.events_log(spark, sf_dir).select("partition", "record_offset", F.inline(F.arrays_zip(F.col("header_keys").alias("name"), F.col("header_values").alias("value"))))
 
 
+@query("log_headers_numbered", fx.ORACLE_LOG + " SELECT partition, record_offset, unnest(range(len(header_keys))) AS n, unnest(header_keys) AS name FROM log")
+def headers_numbered(spark, sf_dir):
+    """Headers with their place in the record."""
+    return fx.events_log(spark, sf_dir).select("partition", "record_offset", F.posexplode("header_keys").alias("n", "name"))
+
+
 @query("log_header_lookup", fx.ORACLE_LOG + " SELECT header_values[2] AS version, count(*) AS records FROM log GROUP BY 1")
 def header_lookup(spark, sf_dir):
     return fx.events_log(spark, sf_dir).groupBy(header_value("service-version").alias("version")).agg(F.count("*").alias("records"))

@@ -21,6 +21,28 @@ def survivors(log: DataFrame) -> DataFrame:
     return kept.where("key is null or is_control or record_offset = last_of_key").drop("last_of_key")
 
 
+def removable_tombstones(log: DataFrame, cleaned: DataFrame, before) -> DataFrame:
+    """Tombstones with `removable`: below the end of the last pass, and reached by a pass (at, clean_end) at or before `before`.
+
+    Passes are a small history per partition: a row a pass.
+    """
+    t = log.where("value is null").select("topic_id", "partition", "record_offset")
+    dirty = cleaned.groupBy(*_PLACE).agg(F.max("clean_end").alias("dirty_from"))
+    first = t.join(cleaned.select(*_PLACE, "at", "clean_end"), _PLACE, "left").where("clean_end > record_offset or clean_end is null").groupBy(*_PLACE, "record_offset").agg(F.min("at").alias("first_at"))
+    rows = t.join(first, [*_PLACE, "record_offset"], "left").join(F.broadcast(dirty), _PLACE, "left")
+    return rows.withColumn("removable", F.coalesce((F.col("record_offset") < F.col("dirty_from")) & (F.col("first_at") <= F.lit(before)), F.lit(False)))
+
+
+def forget_markers(markers: DataFrame, parts: DataFrame) -> DataFrame:
+    """Markers and aborts (last_offset) that still have a record at or past the log start."""
+    return markers.join(parts.select(*_PLACE, "log_start_offset"), _PLACE).where("last_offset >= log_start_offset").drop("log_start_offset")
+
+
+def within_map(log: DataFrame, map_end: DataFrame) -> DataFrame:
+    """What a pass judges: records below the end of its offset map (topic_id, partition, map_end); the rest stays as it is."""
+    return log.join(map_end, _PLACE).where("record_offset < map_end").drop("map_end")
+
+
 def without_aborted(log: DataFrame, aborted: DataFrame) -> DataFrame:
     """Aborted batches go whole, before anything is judged."""
     gone = iso.overlapping_aborts(log, aborted).select(*_PLACE, "base_offset").distinct()
@@ -137,3 +159,20 @@ def archive_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(fx.events_log(spark, sf_dir))
     done = s.where(f"segment_base div {fx.SEGMENT} % 3 = 0").select(*_PLACE, "segment_base")
     return s.where("sealed").join(done, [*_PLACE, "segment_base"], "left_anti").select("partition", "segment_base", "bytes")
+
+
+@query("compact_bounded", fx.ORACLE_ALL + """, bound AS (SELECT partition, stable_offset // 2 AS e FROM lso), judged AS (SELECT log.* FROM log JOIN bound USING (partition) WHERE record_offset < e),
+  m AS (SELECT partition, key, max(record_offset) AS last FROM judged WHERE key IS NOT NULL AND NOT is_control GROUP BY 1, 2)
+  SELECT j.partition, j.record_offset FROM judged j LEFT JOIN m ON m.partition = j.partition AND m.key = j.key WHERE j.key IS NULL OR j.is_control OR j.record_offset = m.last""")
+def compact_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass whose offset map ends halfway to the stable offset: nothing above its end is judged or supersedes anything."""
+    log, parts, _, open_txns = fx.log_state(spark, sf_dir)
+    ends = iso.stable_offsets(parts, open_txns).select(*_PLACE, F.expr("stable_offset div 2").alias("map_end"))
+    return survivors(within_map(log, ends)).select("partition", "record_offset")
+
+
+@query("markers_forgotten", fx.ORACLE_PARTS + " SELECT DISTINCT l.partition, l.base_offset FROM log l JOIN parts p USING (topic_id, partition) WHERE is_transactional AND l.last_offset >= log_start_offset")
+def markers_forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, parts, _, _ = fx.log_state(spark, sf_dir)
+    markers = log.where("is_transactional").select(*_PLACE, "base_offset", "last_offset").distinct()
+    return forget_markers(markers, parts).select("partition", "base_offset")

@@ -1,26 +1,45 @@
-"""Writing logs: offset assignment, validation, and produces that become visible by a marker."""
+"""Writing logs: places within a partition, validation, stored logs in offset order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import partition_for
+from .scratch import delete, new_folder
+
+
+def number_rows(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> tuple[DataFrame, str]:
+    """rows with their place (from 0) within `by` in the given order, and the scratch folder they are read from.
+
+    A range of rows per task and sums over ranges: a partition with most of the rows is cut into many.
+    """
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    ranged = spark.read.parquet(folder)
+    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    return local.join(counts, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_before", "_local", "_range"), folder
 
 
 def assign_offsets(rows: DataFrame, parts: DataFrame, order: list[str]) -> DataFrame:
     """record_offset for new rows: the partition's next offset plus their place in the order of arrival."""
-    w = Window.partitionBy("topic_id", "partition").orderBy(*order)
     next_ = parts.select("topic_id", "partition", F.coalesce("next_offset", F.lit(0).cast("long")).alias("next_offset"))
-    return rows.join(next_, ["topic_id", "partition"]).withColumn("record_offset", F.col("next_offset") + F.row_number().over(w) - 1).drop("next_offset")
+    placed, _ = number_rows(rows, ["topic_id", "partition"], order)
+    return placed.join(next_, ["topic_id", "partition"], "left").withColumn("record_offset", F.coalesce("next_offset", F.lit(0)) + F.col("place")).drop("next_offset", "place")
 
 
-def validate_produce(rows: DataFrame, max_message_bytes: int = 1048588, compacted: bool = False) -> DataFrame:
-    """Adds error: MESSAGE_TOO_LARGE over the limit, INVALID_RECORD for a null key on a compacted topic, else null."""
-    error = F.when(F.col("size_bytes") > max_message_bytes, "MESSAGE_TOO_LARGE")
+def record_size(key: Column, value: Column) -> Column:
+    return (F.coalesce(F.octet_length(key), F.lit(0)) + F.coalesce(F.octet_length(value), F.lit(0)) + 61).cast("long")
+
+
+def validate_produce(batches: DataFrame, max_message_bytes: int = 1048588, compacted: bool = False) -> DataFrame:
+    """Adds error to rows of batches (bytes, null_keys): MESSAGE_TOO_LARGE with the 12 bytes of framing over the limit, INVALID_RECORD for a null key on a compacted topic, else null."""
+    error = F.when(F.col("bytes") + 12 > max_message_bytes, "MESSAGE_TOO_LARGE")
     if compacted:
-        error = error.when(F.col("key").isNull(), "INVALID_RECORD")
-    return rows.withColumn("error", error)
+        error = error.when(F.col("null_keys") > 0, "INVALID_RECORD")
+    return batches.withColumn("error", error)
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
@@ -28,22 +47,4 @@ def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     log.repartitionByRange("topic_id", "partition", "record_offset").sortWithinPartitions("topic_id", "partition", "record_offset").write.mode(mode).partitionBy("topic_id", "partition").parquet(path)
 
 
-def produce(spark: SparkSession, rows: DataFrame, path: str, produce_id: str, partitions: int, order: list[str], parts: DataFrame | None = None) -> DataFrame:
-    """Appends (topic_id, key, value, ...) rows; they count only once their marker is written, so a failed produce leaves no record.
-
-    Returns partition, first and last offset. Rows go to `path`/data/produce=ID, the marker to `path`/markers.
-    """
-    rows = rows.withColumn("partition", partition_for(F.col("key"), partitions))
-    if parts is None:
-        parts = rows.select("topic_id", "partition").distinct().withColumn("next_offset", F.lit(0).cast("long"))
-    data = f"{path}/data/produce={produce_id}"
-    assign_offsets(rows, parts, order).write.mode("overwrite").parquet(data)
-    ranges = spark.read.parquet(data).groupBy("topic_id", "partition").agg(F.min("record_offset").alias("first_offset"), F.max("record_offset").alias("last_offset"))
-    ranges.withColumn("produce", F.lit(produce_id)).write.mode("append").parquet(f"{path}/markers")
-    return ranges
-
-
-def read_produced(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of committed produces only."""
-    done = spark.read.parquet(f"{path}/markers").select("produce").distinct()
-    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").withColumn("produce", F.col("produce").cast("string")).join(done, "produce", "left_semi").drop("produce")
+__all__ = ["assign_offsets", "delete", "number_rows", "record_size", "validate_produce", "write_log"]
