@@ -11,7 +11,7 @@ a backslash and keeps the character after it restores the text exactly.
 An example is one row that holds its whole context, so a conversation has to fit into a row; no
 other group is ever gathered. Defined results: null text and null role are empty; turns sort by
 (turn, role, text), null turn first, and repeated rows are repeated turns; a null conv_id is a
-conversation of its own.
+conversation of its own; columns other than conv_id, turn, role and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -61,25 +61,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch folders of each application that are still there.
+_folders: dict[str, set[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _folders.get(spark.sparkContext.applicationId, set()).discard(folder)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes every scratch folder that operators of this application still keep. Results not yet saved read some of them, so save these first."""
+    for folder in list(_folders.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, folder)
 
 
 def written(df: DataFrame, name: str, watch: Observation | None = None, *metrics: Column) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors. `watch` gets `metrics` of the rows written."""
     path = scratch_path(df.sparkSession, name)
     (df.observe(watch, *metrics) if watch else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_folder = path
+    return out
 
 
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._scratch_folder)
 
 
 def bitmap(bits: DataFrame, size: int) -> np.ndarray:

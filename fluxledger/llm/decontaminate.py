@@ -31,8 +31,6 @@ like any other; long texts are judged whole; other columns, whatever their names
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +54,32 @@ def _shingles(ws: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: _shingle(ws, i, k))
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash; occurrences weigh by standing in the array more than once. A tie gives a 0 bit."""
-    def bit(b: int) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, F.lit(b)).cast("int"))
-        return F.when(ones * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def simhash(hashes: Column, most: int) -> Column:
+    """64-bit SimHash of an array of at most `most` hashes; occurrences weigh by standing in the array more than once. A tie gives a 0 bit.
+
+    All 64 counters run side by side: the longs p0, p1, ... hold their bits of weight 1, 2, ..., and a hash is added with carry.
+    """
+    planes = range(max(1, most.bit_length()))
+
+    def add(acc: Column, h: Column) -> Column:
+        out, carry = [], h
+        for k in planes:
+            p = acc[f"p{k}"]
+            out.append(p.bitwiseXOR(carry).alias(f"p{k}"))
+            carry = p.bitwiseAND(carry)
+        return F.struct(*out)
+
+    def above_half(acc: Column) -> Column:
+        """Bits whose counter is over half the array, compared from the highest plane down."""
+        above, equal = F.lit(0).cast("long"), F.lit(-1).cast("long")
+        for k in reversed(planes):
+            half = F.when(F.getbit((F.size(hashes) / 2).cast("long"), F.lit(k)) == 1, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+            above = above.bitwiseOR(equal.bitwiseAND(acc[f"p{k}"]).bitwiseAND(F.bitwise_not(half)))
+            equal = equal.bitwiseAND(F.bitwise_not(acc[f"p{k}"].bitwiseXOR(half)))
+        return above
 
-    return reduce(lambda x, y: x.bitwiseOR(y), [bit(b) for b in range(64)])
+    counters = F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(f"p{k}") for k in planes]), add)
+    return F.get(F.transform(F.array(counters), above_half), 0)
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
@@ -99,8 +116,8 @@ def _starts(places: Column, need: Column, width: Column, n: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and item it holds: id, item, similarity and start (shingle number) of the best window, its Hamming distance."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") >= k)
-    items = written(items.select("item", _shingles(F.col("w"), k).alias("ih")).withColumn("size", F.size("ih")).withColumn("ifp", simhash(F.col("ih"))), "bench-items")
-    n_shingles = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    most, n_shingles = items.agg(F.coalesce(F.max(F.size("w") - k + 1), F.lit(0)), F.coalesce(F.sum(F.size("w") - k + 1), F.lit(0))).first()
+    items = written(items.select("item", _shingles(F.col("w"), k).alias("ih")).withColumn("size", F.size("ih")).withColumn("ifp", simhash(F.col("ih"), most)), "bench-items")
     # a seed holds a shingle and a size, 16 bytes and what a hashed row costs besides
     small = n_shingles * 40 <= broadcast_bytes
     seeds = items.select("size", F.explode("ih").alias("h")).distinct()
@@ -121,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     laid = near.select("id", "size", "width", "w", F.explode("starts").alias("start"))
     windows = laid.select("id", "size", "start", _shingles(F.slice("w", F.col("start") + 1, F.col("width") + k - 1), k).alias("wh"))
     with spark_conf(docs.sparkSession, BLOOM):
-        windows = written(windows.withColumn("wfp", simhash(F.col("wh"))), "bench-windows")
+        windows = written(windows.withColumn("wfp", simhash(F.col("wh"), most)), "bench-windows")
 
     left = windows.select("*", F.explode(_block_keys(F.col("wfp"), radius)).alias("key")).select("*", "key.block", "key.bits")
     right = items.select("*", F.explode(_block_keys(F.col("ifp"), radius)).alias("key")).select("item", "ih", "ifp", "size", "key.block", "key.bits")

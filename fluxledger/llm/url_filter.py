@@ -8,7 +8,9 @@ of every URL. The index is broadcast only while its row count is under `broadcas
 beyond that the join shuffles by token and adaptive execution splits common tokens.
 
 Defined results: a null URL or one without ``://`` has empty host and path and matches no rule
-that names a host; rows with equal page_id stay separate rows.
+that names a host; rows with equal page_id stay separate rows; long URLs are judged whole; columns named
+host, path, rule, verdict or _tokens are replaced, all others pass through; an empty table gives no rows, and
+without rules every verdict is the default.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _UPPER, load
+from .common import _UPPER, load, written
 
 #: (action, rule); a rule is host + path prefix, `*` in the path stands for any run of characters.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -73,6 +75,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     urls = rows.select("host", "path").distinct()
     hits = urls.select("host", "path", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(sized(index), "token").where(F.rlike(target, F.col("regex")))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.when(F.col("action") == "block", 1).otherwise(0).alias("b"), "rule", "action")).alias("best"))
+    best = written(best, "url-verdicts")  # a table, so that Spark can split the rows of a hot URL in the join
     out = rows.join(best, ["host", "path"], "left")
     return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.action", F.lit(default))).drop("best")
 

@@ -249,6 +249,115 @@ def test_warc_segments(spark):
     assert "missing" in got["gap1"]["error"] and "total length" in got["len1"]["error"]
 
 
+def test_chat_ties_and_empty(spark):
+    rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "y"), (1, 0, "user", "a", "y"), (1, 1, "assistant", "c" * 100_000, "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = chat_format.expand(turns).where("is_last").select("n_turns", chat_format.parse(F.col("formatted")).alias("t")).first()
+    assert got["n_turns"] == 4 and [x["text"] for x in got["t"]] == ["a", "a", "b", "c" * 100_000]
+    assert chat_format.expand(turns.limit(0)).count() == 0
+
+
+def test_warc_edges(spark, tmp_path):
+    """An empty table, repeated rows, columns with the operator's own names, and payloads over one segment."""
+    page = "é" * 9000
+    rows = [(1, "u", page), (1, "u", page), (None, "u", page), (2, "u", "x" * 999), (2, "u", "x" * 999)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha1": F.lit("s"), "payload": F.lit("p"), "head": F.lit(7)})
+    warc.write_warc(pages, f"file://{tmp_path}/w", row_bytes=5000, rows_per_file=2)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["error"]) for r in warc.read_pages(spark, f"file://{tmp_path}/w").collect()), key=repr)
+    assert got == sorted([(1, "response", None, 18_000, None), (1, "response", None, 18_000, None), (None, "revisit", 1, 18_000, None), (2, "response", None, 999, None), (2, "response", None, 999, None)], key=repr)
+    kinds = {r["record_type"]: r["count"] for r in warc.read_records(spark, f"file://{tmp_path}/w").groupBy("record_type").count().collect()}
+    assert kinds["continuation"] >= 4 and len(list((tmp_path / "w").glob("part-*"))) > 1
+    warc.write_warc(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_pages(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_decontamination_between_diagonals(spark):
+    """The best window lies between the places where item and document share shingles."""
+    w = [f"w{i}" for i in range(94)]
+    doc = ["a1", "a2", "a3", *w[3:47], *[f"n{i}" for i in range(6)], *w[47:91], "z1", "z2", "z3"]
+    shingles = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+    item = shingles(w)
+    best = max(len(set(item) & set(shingles(doc)[s : s + 90])) for s in range(len(shingles(doc)) - 89))
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    for pad in (0, 40):
+        text = " ".join([*(f"p{i}" for i in range(pad)), *doc, *(f"q{i}" for i in range(pad))])
+        rows = spark.createDataFrame([(1, text), (1, text), (2, "clean text " * 60)], "doc_id long, text string").withColumns({"th": F.lit(1), "starts": F.lit("x")})
+        got = decontaminate.contaminated(rows, bench, threshold=0.75).collect()
+        assert [(r["id"], r["item"], round(r["similarity"], 9)) for r in got] == [(1, 1, round(best / (180 - best), 9))]
+
+
+def test_simhash(spark):
+    """Counters side by side against counting bit by bit."""
+    rnd = random.Random(2)
+    arrays = [[rnd.getrandbits(64) - (1 << 63) for _ in range(n)] * (1 + n % 2) for n in (1, 2, 3, 7, 50, 255)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<long>")
+    got = {r["i"]: r["s"] for r in df.select("i", decontaminate.simhash(F.col("a"), 510).alias("s")).collect()}
+    for i, a in enumerate(arrays):
+        bits = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in a) > len(a))
+        assert got[i] == (bits - (1 << 64) if bits >> 63 else bits)
+
+
+def test_large_hypergeometric():
+    """The sampler for large counts has the mean and spread of the distribution, and agrees with numpy's on small ones."""
+    rng = np.random.default_rng(1)
+    for good, bad, take in ((70, 30, 20), (30, 70, 95), (5 * 10**10, 3 * 10**11, 10**11)):
+        x = np.array([mixing.large_hypergeometric(good, bad, take, rng) for _ in range(4000)], float)
+        p, n = good / (good + bad), good + bad
+        sd = (take * p * (1 - p) * (n - take) / (n - 1)) ** 0.5
+        assert abs(x.mean() - take * p) < 5 * sd / 4000**0.5 and abs(x.std() / sd - 1) < 0.06
+        assert x.min() >= max(0, take - bad) and x.max() <= min(good, take)
+
+
+def test_several_shards(docs):
+    placed, sources = mixing.measured(docs)
+    plan = mixing.plan_sources(sources, block_words=8)
+    pieces = mixing.write_shards(mixing.mix(placed, plan, shards=5, block_words=8)).collect()
+    want = {r["source_no"]: r["draws"] for r in plan.collect()}
+    quotas = mixing.shard_quotas(np.array([want[i] for i in sorted(want)]), 2, 5, mixing.SEED)[1]
+    assert len({r["shard"] for r in pieces}) == 5
+    drawn = {(r["source_no"], r["epoch"], (r["first_word"] + r["piece_start"]) // 8) for r in pieces}
+    assert {s: sum(1 for x in drawn if x[0] == s) for s in want} == want
+    mine = {(r["source_no"], r["epoch"], (r["first_word"] + r["piece_start"]) // 8) for r in pieces if r["shard"] == 2}
+    assert [sum(1 for x in mine if x[0] == s) for s in sorted(want)] == quotas.tolist()
+
+
+def test_letters():
+    assert [t is None for t in langid._texts(pa.array(["²½①", "123 _", "a", None, "", "½é"]))] == [True, True, False, True, True, False]
+
+
+def test_label_model():
+    """Expectation-maximisation against a direct computation of one step from its result: the posterior is a fixed point."""
+    counts = {sum(v * 3**i for i, v in enumerate(c)): n for c, n in (((2, 2, 2, 2, 2, 2, 2, 2), 900), ((1, 2, 2, 2, 2, 2, 2, 2), 40), ((1, 1, 2, 2, 1, 2, 2, 1), 30), ((0, 0, 2, 2, 2, 0, 2, 2), 60))}
+    got = quality.label_model(counts)
+    prior = [[0.2, 0.002, 0.798], [0.35, 0.25, 0.4]]
+    said = {c: [(c // 3**j) % 3 for j in range(8)] for c in counts}
+    weigh = []
+    for side in (0, 1):
+        mass = {c: n * (got[c] if side == 0 else 1 - got[c]) for c, n in counts.items()}
+        share = sum(mass.values()) / sum(counts.values())
+        row = {}
+        for c in counts:
+            p = min(0.99, max(0.01, share))
+            for j in range(8):
+                seen = [sum(m for k, m in mass.items() if said[k][j] == v) + quality.PRIOR_DOCS * prior[side][v] for v in range(3)]
+                p *= seen[said[c][j]] / sum(seen)
+            row[c] = p
+        weigh.append(row)
+    for c in counts:
+        assert abs(got[c] - weigh[0][c] / (weigh[0][c] + weigh[1][c])) < 1e-4
+
+
+def test_exact_dedup_by_locator(spark, tmp_path):
+    """Locators name file and row; bytes behind an equal digest of an earlier call are compared too."""
+    spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    got = {r["id"]: r["keep_locator"] for r in exact_dedup.exact_dedup(spark.read.parquet(f"file://{tmp_path}/d")).collect()}
+    assert got[1] == got[2] and got[1].endswith("#1") and got[3].endswith("#2") and ".parquet" in got[1]
+    same = lambda c: F.lit("x").cast("binary")
+    run = lambda rows: sorted((r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=same, checkpoint=f"file://{tmp_path}/s").collect())
+    assert run([(1, "a"), (5, "b")]) == [(1, 1, 1), (5, 5, 1)]
+    assert run([(3, "A"), (9, "c")]) == [(3, 3, 2), (9, 9, 1)]
+
+
 @pytest.mark.parametrize("body", [b"5\r\nab", b"zz\r\n", b"3\r\nabcX\r\n0\r\n\r\n"])
 def test_broken_chunks(body):
     with pytest.raises(ValueError):
