@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import partition_for
 from .sources.log import stored
 from .sources.scratch import once
-from .sources.sink import number_rows, write_log
+from .sources.sink import PAGES, number_rows, write_log
 
 PARTITIONS = 6
 BATCH = 8
@@ -176,7 +176,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored payment log, written once a session in the order of time, so a window of time reads few row groups."""
     def write(path: str) -> None:
         rows = build_payments(spark, sf_dir)
-        rows.repartitionByRange("charged_at").sortWithinPartitions("charged_at").write.parquet(path)
+        rows.repartitionByRange("charged_at").sortWithinPartitions("charged_at").write.options(**PAGES).parquet(path)
 
     return spark.read.parquet(once(spark, (sf_dir, "payments"), write))
 

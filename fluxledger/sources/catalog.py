@@ -24,7 +24,7 @@ from ..functions.text import TOPIC_NAME
 from ..operators.configs import check_config
 from .log import find_offsets, read_log
 from .scratch import create_file, delete, file_names, read_file
-from .sink import number_rows, record_size, validate_produce
+from .sink import PAGES, number_rows, record_size, validate_produce
 
 _ROW = "key string, value string, timestamp timestamp_ntz, header_keys array<string>, header_values array<string>, place long, produce string, partition int"
 _MARKER = "produce string, partition int, first_offset long, last_offset long, bytes long, max_timestamp timestamp_ntz, leader_epoch int, at long"
@@ -144,7 +144,7 @@ class Catalog:
         wanted = ["key", "value", "timestamp", "header_keys", "header_values", "partition"]
         placed, scratch = number_rows(rows.select(*wanted, *[c for c in order if c not in wanted]), ["partition"], order)
         data = f"{self._folder(topic)}/data/produce={pid}"
-        placed.select(*wanted, "place").repartitionByRange("partition", "place").sortWithinPartitions("partition", "place").write.mode("overwrite").partitionBy("partition").parquet(data)
+        placed.select(*wanted, "place").repartitionByRange("partition", "place").sortWithinPartitions("partition", "place").write.mode("overwrite").options(**PAGES).partitionBy("partition").parquet(data)
         delete(spark, scratch)
         if rows.isEmpty():
             return done

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .scratch import delete, new_folder
 
 
+#: Small Parquet pages, so that bounds on offset and time skip pages within a row group too.
+PAGES = {"parquet.page.row.count.limit": "2000"}
+
+
 def number_rows(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> tuple[DataFrame, str]:
     """rows with their place (from 0) within `by` in the given order, and the scratch folder they are read from.
 
@@ -44,7 +48,7 @@ def validate_produce(batches: DataFrame, max_message_bytes: int = 1048588, compa
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
     """Stores a log partitioned by topic and partition, each file in offset order, so bounds prune files and row groups."""
-    log.repartitionByRange("topic_id", "partition", "record_offset").sortWithinPartitions("topic_id", "partition", "record_offset").write.mode(mode).partitionBy("topic_id", "partition").parquet(path)
+    log.repartitionByRange("topic_id", "partition", "record_offset").sortWithinPartitions("topic_id", "partition", "record_offset").write.mode(mode).options(**PAGES).partitionBy("topic_id", "partition").parquet(path)
 
 
-__all__ = ["assign_offsets", "delete", "number_rows", "record_size", "validate_produce", "write_log"]
+__all__ = ["PAGES", "assign_offsets", "delete", "number_rows", "record_size", "validate_produce", "write_log"]
