@@ -17,8 +17,8 @@ Two documents link when 100 * |intersection| >= `percent` * |union| of their wor
    the sets of one probe's partners, in the global order, are a trie in depth-first order, where a
    shared path's overlap is counted once and a subtree is left when overlap plus the remaining
    lengths cannot reach the threshold.
-5. Edges whose classes are not yet in one component may hold further links. Edges of at most `FEW`
-   classes give all pairs across components. On larger ones most paths follow a common trunk:
+5. Edges whose classes are not yet in one component may hold further links. Such edges with classes in common make a
+   group, whose paths follow a common trunk as far as they are alike:
    classes are joined on what their paths leave out of the trunk or add to
    it, of which two that link must share more the farther both are from the trunk. These pairs are
    verified in the same way, so no link between components is missed, and no group is expanded into all its pairs.
@@ -47,7 +47,6 @@ K = 3
 PERCENT = 90
 BITMAP = 1 << 23
 CHUNK = 512
-FEW = 32
 #: Edges a task holds before it sends them off.
 HELD = 1 << 20
 _SALT = 0x9E3779B97F4A7C15
@@ -343,14 +342,6 @@ def _star(members: DataFrame, classes: DataFrame) -> DataFrame:
     return written(named.select("probe", "cls"), "ngram-star")
 
 
-def _few_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, cls) across components on edges of at most FEW classes: a row has at most FEW - 1 partners."""
-    x, y = open_rows.where("comp <> main").alias("x"), open_rows.alias("y")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    cross = x.join(y, F.col("x.edge") == F.col("y.edge")).where((F.col("x.comp") != F.col("y.comp")) & once & _near(F.col("x.n"), F.col("y.n"), percent))
-    return cross.select(F.greatest("x.cls", "y.cls").alias("probe"), F.least("x.cls", "y.cls").alias("cls")).distinct()
-
-
 _MARKS = [f"marks{i}" for i in range(4)]
 
 
@@ -365,8 +356,8 @@ def _picked(many: DataFrame, count: int) -> DataFrame:
     return picks.select("pivot", F.explode("picks").alias("cls"))
 
 
-def _trunks(many: DataFrame, sets: DataFrame, count: int = 32) -> DataFrame:
-    """A path near the middle of each pivot's group, the trunk: tokens that most of `count` classes of it hold. Any path would give right results."""
+def _trunks(many: DataFrame, sets: DataFrame, count: int = 16) -> DataFrame:
+    """A path near the middle of each group, the trunk: tokens that most of `count` classes of it hold. Any path would give right results."""
     picked = written(_picked(many, count), "ngram-picked")
     of = written(picked.groupBy("pivot").agg(F.count("*").alias("of")), "ngram-picks")
     tokens = picked.join(sets, "cls").select("pivot", F.explode("tokens").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("n"))
@@ -375,17 +366,21 @@ def _trunks(many: DataFrame, sets: DataFrame, count: int = 32) -> DataFrame:
     return trunks
 
 
-def _deviations(many: DataFrame, sets: DataFrame, trunks: DataFrame) -> DataFrame:
+def _deviations(many: DataFrame, sets: DataFrame) -> DataFrame:
     """How the path of each row (pivot, cls, comp) leaves the trunk of its group: n and t tokens, `a` of the trunk left out, dev: what is left out or added."""
-    d = many.join(trunks, "pivot").join(sets, "cls")
+    many = written(many, "ngram-groups")
+    trunks = _trunks(many, sets)
+    d = many.join(trunks, "pivot", "left").withColumn("trunk", F.coalesce("trunk", F.array().cast("array<long>"))).join(sets, "cls")
     d = d.select("pivot", "cls", "comp", F.size("tokens").alias("n"), F.size("trunk").alias("t"), F.array_except("trunk", "tokens").alias("out"), F.transform(F.array_except("tokens", "trunk"), F.bitwise_not).alias("new"))
-    return d.select("pivot", "cls", "comp", "n", "t", F.size("out").alias("a"), F.concat("out", "new").alias("dev")).select("*", F.size("dev").alias("d"), *_marks("dev"))
+    d = written(d.select("pivot", "cls", "comp", "n", "t", F.size("out").alias("a"), F.concat("out", "new").alias("dev")).select("*", F.size("dev").alias("d"), *_marks("dev")), "ngram-deviations")
+    drop_written(many, trunks)
+    return d
 
 
 def _nearest(d: DataFrame, percent: int) -> DataFrame:
     """Pairs (probe, cls) of every row with the row of its group that leaves the trunk least, see _trunk_pairs."""
-    least = d.groupBy("pivot").agg(F.min_by("cls", F.struct(F.lit(percent) * F.col("n") + (100 + percent) * F.col("a"), "cls")).alias("probe"))
-    return d.select("pivot", "cls").join(written(least, "ngram-nearest"), "pivot").where("cls <> probe").select("probe", "cls")
+    least = d.groupBy("pivot").agg(F.min_by(F.struct("cls", "comp"), F.struct(F.lit(percent) * F.col("n") + (100 + percent) * F.col("a"), "cls")).alias("near"))
+    return d.select("pivot", "cls", "comp").join(written(least, "ngram-nearest"), "pivot").where("comp <> near.comp").select(F.col("near.cls").alias("probe"), "cls")
 
 
 def _shared(percent: int) -> Column:
@@ -400,7 +395,7 @@ def _may_link(percent: int) -> Column:
     return (F.col("x.comp") != F.col("y.comp")) & _near(F.col("x.n"), F.col("y.n"), percent) & (most >= _shared(percent))
 
 
-def _more_pivots(d: DataFrame, percent: int, count: int = 16) -> DataFrame:
+def _more_pivots(d: DataFrame, percent: int, count: int = 8) -> DataFrame:
     """Pairs (probe, cls) of every row with up to `count` classes of its group, if they may link; settles dense groups before any cross pairs."""
     picked = _picked(d.select("pivot", "cls"), count).join(d.drop("dev"), ["pivot", "cls"])
     x, y = d.drop("dev").alias("x"), written(picked, "ngram-picked").alias("y")
@@ -415,27 +410,41 @@ def _trunk_pairs(d: DataFrame, percent: int) -> DataFrame:
     t - a - b plus the deviations they share. Pairs that link without sharing any have f(x) + f(y) <= t with
     f = a + percent * n / (100 + percent); then the row of least f links with both (_nearest), and they are in one
     component already. All other pairs must share needed - (t - a - b) >= 1 deviations, and a prefix of the
-    deviations, rarest in the group first, shows every such pair. Marks of fixed size bound what two classes can
+    deviations shows every such pair: any order of them gives right results. A sample says which ones are frequent
+    in the group; these come last, the others by hash. Marks of fixed size bound what two classes can
     share, so the join makes few rows that are not links.
     """
     part = F.lit(percent) / (100 + percent)
-    least = d.groupBy("pivot").agg(F.min(part * F.col("n") + F.col("a")).alias("least"))
-    d = d.join(least, "pivot").withColumn("shared", F.greatest(F.lit(1), F.ceil(part * F.col("n") + F.col("least") - 1e-6) - F.col("t") + F.col("a")))
-    d = d.where(F.col("shared") <= F.size("dev"))
-    rows = d.select("pivot", "cls", F.explode("dev").alias("token"))
-    common = rows.groupBy("pivot", "token").agg(F.count("*").alias("f")).where("f > 1")
-    lists = rows.join(common, ["pivot", "token"]).groupBy("pivot", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("listed"))
-    d = d.select("pivot", "cls", "comp", "n", "t", "a", "d", "shared", *_MARKS).join(lists, ["pivot", "cls"])
-    # deviations that no other class has come first in the order, so the listed ones follow them
-    at = d.select("pivot", "cls", "comp", "n", "t", "a", "d", "shared", *_MARKS, (F.col("d") - F.size("listed")).alias("first"), F.posexplode("listed").alias("i", "x"))
-    at = at.withColumn("left", F.col("d") - F.col("first") - F.col("i")).where("left >= shared").select("pivot", "cls", "comp", "n", "t", "a", "d", "left", *_MARKS, F.col("x.token").alias("token"))
+    # the least f among the classes of other components, and the least a
+    own = d.groupBy("pivot", "comp").agg(F.min(part * F.col("n") + F.col("a")).alias("f"), F.min("a").alias("a"), F.count("*").alias("members"))
+    own = written(own, "ngram-least")
+    best = own.groupBy("pivot").agg(F.min(F.struct("f", "comp")).alias("best"), F.min("a").alias("least_a"), F.sum("members").alias("members"))
+    best = written(best, "ngram-best")
+    second = own.join(best, "pivot").where("comp <> best.comp").groupBy("pivot").agg(F.min("f").alias("second"))
+    known = written(best.join(second, "pivot"), "ngram-bounds")  # groups of one component have no second and are settled
+    sample = d.join(known, "pivot").where(F.pmod(F.xxhash64(F.lit(7), "cls"), F.greatest(F.lit(8), F.ceil(F.col("members") / 512))) == 0)
+    seen = sample.select("pivot", F.explode("dev").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("f")).where("f > 1")
+    frequent = seen.groupBy("pivot").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"]).alias("frequent"))
+    frequent = written(frequent, "ngram-frequent")
+
+    d = d.join(known, "pivot").join(frequent, "pivot", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<long>")))
+    least = F.when(F.col("comp") == F.col("best.comp"), F.col("second")).otherwise(F.col("best.f"))
+    near = part * (F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100)) + F.col("least_a")
+    d = d.withColumn("shared", F.greatest(F.lit(1), F.ceil(F.greatest(part * F.col("n") + least, near) - 1e-6) - F.col("t") + F.col("a")).cast("int"))
+    d = d.where(F.col("shared") <= F.col("d"))
+    listed = F.concat(F.array_sort(F.array_except("dev", "frequent")), F.array_intersect("frequent", "dev"))
+    kept = [F.col(c) for c in ("pivot", "cls", "comp", "n", "t", "a", "d", *_MARKS)]
+    at = d.select(*kept, F.slice(listed, F.lit(1), F.col("d") - F.col("shared") + 1).alias("head"))
+    at = at.select(*kept, F.posexplode("head").alias("i", "token")).withColumn("left", F.col("d") - F.col("i")).drop("i")
     at = written(at, "ngram-branches")
     x, y = at.alias("x"), at.alias("y")
     shared, rest = _shared(percent), F.least("x.left", "y.left")
     on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") > F.col("y.cls"))
     pairs = x.join(y, on & (rest >= shared) & _may_link(percent))
     pairs = pairs.groupBy(F.col("x.pivot").alias("pivot"), F.col("x.cls").alias("probe"), F.col("y.cls").alias("cls")).agg(F.count("*").alias("c"), F.min(rest).alias("rest"), F.first(shared).alias("shared"))
-    return pairs.where(F.col("c") + F.col("rest") - 1 >= F.col("shared")).select("probe", "cls")
+    pairs = written(pairs.where(F.col("c") + F.col("rest") - 1 >= F.col("shared")).select("probe", "cls"), "ngram-cross")
+    drop_written(own, best, known, frequent, at)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -454,35 +463,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = _sets_of(texts, members.select("d").distinct().join(classes, "d").select("digest", "cls", "first_id"), k)
 
     star = _star(members, classes)
-    links = [_verify(star, sets, percent)]
-    comp = components(links[0])
+    links = _verify(star, sets, percent)
+    comp = components(links)
     held = members.select("edge", "d").distinct().join(classes.select("d", "cls", "n"), "d").select("edge", "cls", "n")
     held = held.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("edge", "cls", "n", F.coalesce("component", "cls").alias("comp"))
     held = written(held, "ngram-held")
     drop_written(members)
-    unsettled = held.groupBy("edge").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.min("cls").alias("pivot"), F.count("*").alias("members")).where("main <> other").drop("other")
+    unsettled = held.groupBy("edge").agg(F.min("comp").alias("main"), F.max("comp").alias("other"), F.min("cls").alias("pivot")).where("main <> other").select("edge", "pivot")
     unsettled = written(unsettled, "ngram-unsettled")
-    open_rows = written(held.join(unsettled, "edge"), "ngram-open")
+    many = written(held.join(unsettled, "edge").select("pivot", "cls", "comp").distinct(), "ngram-open")
     drop_written(held, unsettled)
-    cross = _few_pairs(open_rows.where(F.col("members") <= FEW), percent)
     # edges with classes in common make one group, so that a class is in one group only
-    many = written(open_rows.where(F.col("members") > FEW).select("pivot", "cls", "comp").distinct(), "ngram-many")
     group = components(many.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))).select(F.col("id").alias("cls"), F.col("component").alias("pivot"))
-    many = written(many.select("cls", "comp").distinct().join(group, "cls").select("pivot", "cls", "comp"), "ngram-groups")
-    if not many.isEmpty():
-        trunks = _trunks(many, sets)
-        far = written(_deviations(many, sets, trunks), "ngram-deviations")
-        second = written(_more_pivots(far, percent).unionByName(_nearest(far, percent)).distinct(), "ngram-second")
-        links.append(_verify(second, sets, percent))
-        comp = components(links[0].unionByName(links[1]))
-        now = comp.select(F.col("id").alias("cls"), F.col("component").alias("now"))
-        cross = cross.unionByName(_trunk_pairs(far.join(now, "cls", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now"), percent)).distinct()
+    far = _deviations(many.select("cls", "comp").distinct().join(group, "cls"), sets)
+    drop_written(many)
     seen = star.select(F.greatest("probe", "cls").alias("probe"), F.least("probe", "cls").alias("cls")).distinct()
-    cross = written(cross.join(seen, ["probe", "cls"], "left_anti"), "ngram-cross")
-    if not cross.isEmpty():
-        links.append(_verify(cross, sets, percent))
-        comp = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]) if len(links) == 2 else links[0].unionByName(links[1]).unionByName(links[2]))
-    drop_written(open_rows, many, star, cross, sets, *links)
+    new = lambda pairs: pairs.select(F.greatest("probe", "cls").alias("probe"), F.least("probe", "cls").alias("cls")).distinct().join(seen, ["probe", "cls"], "left_anti")
+    second = written(new(_more_pivots(far, percent).unionByName(_nearest(far, percent))), "ngram-second")
+    more = _verify(second, sets, percent)
+    links = written(links.unionByName(more), "ngram-links")
+    comp = components(links)
+    now = comp.select(F.col("id").alias("cls"), F.col("component").alias("now"))
+    cross = _trunk_pairs(far.join(now, "cls", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now"), percent)
+    last = written(new(cross).join(second, ["probe", "cls"], "left_anti"), "ngram-last")
+    if not last.isEmpty():
+        final = _verify(last, sets, percent)
+        links = written(links.unionByName(final), "ngram-links")
+        comp = components(links)
+    drop_written(star, far, second, more, cross, last, sets, links)
 
     named = classes.join(comp, F.col("cls") == F.col("id"), "left").select("digest", F.coalesce("component", "cls").alias("component"), "first_id")
     named = written(named, "ngram-named")

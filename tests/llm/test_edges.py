@@ -56,9 +56,8 @@ def test_ngram_join(docs, none):
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_ngram_join_dense_group(spark, k, percent, monkeypatch):
-    """Edited copies of one text: many pairs on both sides of the threshold, in groups over FEW."""
-    monkeypatch.setattr(ngram_join, "FEW", 4)
+def test_ngram_join_dense_group(spark, k, percent):
+    """Edited copies of one text: many pairs on both sides of the threshold."""
     rnd = random.Random(7)
     base = [f"b{i}" for i in range(146)]
     rows = []
