@@ -52,7 +52,7 @@ def drained(spark: SparkSession, sf_dir: str) -> tuple[Catalog, ChangeMappings,
         half = changes.agg(F.expr("max(xid) div 2").alias("h")).first()["h"]
         folder = f"{path}/changes"
         for part in (F.col("xid") <= half, F.col("xid") > half):
-            changes.where(part).write.mode("append").parquet(folder)
+            changes.where(part).write.mode("append").option("maxRecordsPerFile", 500_000).parquet(folder)  # small files can be shared out
             m.drain(folder)
         m.drain(folder)
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..schema import CHANGE_SCHEMA
 from ..sources.catalog import Catalog
-from ..sources.scratch import create_file, file_names, read_file
+from ..sources.scratch import create_file, delete, file_names, new_folder, read_file
 
 _SOURCE = re.compile(r"[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)?")
 _NONE = 2**63 - 1
@@ -161,31 +161,31 @@ class ChangeMappings:
         return {op["name"]: op["hold"] for op in rows}
 
     def _deliver(self, changes: DataFrame, batch_id: int) -> None:
-        changes = changes.persist()
-        try:
-            places, held = self.ledger(), self.holds()
-            for name, mapping in self.mappings().items():
-                at = places.get(name, (-1, -1))
-                if batch_id >= 0 and name in held:
-                    continue  # stalled: what comes later waits for redeliver
-                rows = render(changes, mapping).where(F.struct("end_lsn", "seq") > F.struct(F.lit(at[0]).cast("long").alias("end_lsn"), F.lit(at[1]).cast("long").alias("seq"))).persist()
-                hold = _NONE
-                if mapping["on_error"] == "stall":
-                    hold = rows.where("error is not null").agg(F.coalesce(F.min("end_lsn"), F.lit(_NONE))).first()[0]
-                good = rows.where(F.col("error").isNull() & (F.col("end_lsn") < hold))
-                last = rows.where(F.col("end_lsn") < hold).agg(F.max(F.struct("end_lsn", "seq")).alias("m")).first()["m"]
-                if last is not None:
-                    tag = f"{name}-{mapping['version']}-{last['end_lsn']}-{last['seq']}"
-                    self.catalog.produce(mapping["topic"], good.select("key", "value", "end_lsn", "seq"), ["end_lsn", "seq"], produce_id=tag)
-                    if mapping["on_error"] == "skip":
-                        bad = rows.where("error is not null").select(F.lit(name).alias("mapping"), "end_lsn", "seq", "error")
-                        bad.write.mode("overwrite").parquet(f"{self.root}/dead/batch={tag}")
-                    self._put("ledger", [{"name": name, "version": mapping["version"], "end_lsn": last["end_lsn"], "seq": last["seq"]}], name=tag)
-                rows.unpersist()
-                if hold != _NONE:
-                    self._put("holds", [{"name": name, "version": mapping["version"], "hold": hold}], name=f"{name}-{mapping['version']}-{hold}")
-        finally:
-            changes.unpersist()
+        places, held = self.ledger(), self.holds()
+        for name, mapping in self.mappings().items():
+            at = places.get(name, (-1, -1))
+            if batch_id >= 0 and name in held:
+                continue  # stalled: what comes later waits for redeliver
+            # rendered rows are stored, not kept in memory: changes are many times larger there than in their files
+            folder = new_folder(self.spark, "rendered")
+            due = render(changes, mapping).where(F.struct("end_lsn", "seq") > F.struct(F.lit(at[0]).cast("long").alias("end_lsn"), F.lit(at[1]).cast("long").alias("seq")))
+            due.select("end_lsn", "seq", "key", "value", "error").write.parquet(folder)
+            rows = self.spark.read.schema("end_lsn long, seq long, key string, value string, error string").parquet(folder)
+            hold = _NONE
+            if mapping["on_error"] == "stall":
+                hold = rows.where("error is not null").agg(F.coalesce(F.min("end_lsn"), F.lit(_NONE))).first()[0]
+            good = rows.where(F.col("error").isNull() & (F.col("end_lsn") < hold))
+            last = rows.where(F.col("end_lsn") < hold).agg(F.max(F.struct("end_lsn", "seq")).alias("m")).first()["m"]
+            if last is not None:
+                tag = f"{name}-{mapping['version']}-{last['end_lsn']}-{last['seq']}"
+                self.catalog.produce(mapping["topic"], good.select("key", "value", "end_lsn", "seq"), ["end_lsn", "seq"], produce_id=tag)
+                if mapping["on_error"] == "skip":
+                    bad = rows.where("error is not null").select(F.lit(name).alias("mapping"), "end_lsn", "seq", "error")
+                    bad.write.mode("overwrite").parquet(f"{self.root}/dead/batch={tag}")
+                self._put("ledger", [{"name": name, "version": mapping["version"], "end_lsn": last["end_lsn"], "seq": last["seq"]}], name=tag)
+            delete(self.spark, folder)
+            if hold != _NONE:
+                self._put("holds", [{"name": name, "version": mapping["version"], "hold": hold}], name=f"{name}-{mapping['version']}-{hold}")
 
     def drain(self, folder: str, checkpoint: str | None = None) -> None:
         """Delivers all changes in the Parquet files of `folder` that are new since the last drain, each file as a whole commit range in order.

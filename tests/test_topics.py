@@ -127,3 +127,17 @@ def test_drain_goes_on_after_mending(spark, catalog):
     m.add_mapping("x", "orders", "t", "id string", "new.id", "new.id")
     m.redeliver(folder)
     assert values() == ["1", "2", "1", "2", "bad", "4", "5"] and m.holds() == {}
+
+
+def test_drain_holds_no_changes_in_memory(spark, catalog, monkeypatch):
+    """Files of changes are many times smaller than their rows, so a task that caches its files' rows reads far more than its share."""
+    catalog.create_topic("t")
+    m, folder = ChangeMappings(catalog, f"{catalog.root}/m"), f"{catalog.root}/changes"
+    m.add_mapping("x", "orders", "t", "id int", "new.id", "new.id", on_error="skip")
+    rows = change_rows(spark.range(40).select(F.when(F.col("id") == 7, "bad").otherwise(F.col("id").cast("string")).alias("id")), "orders", "I")
+    rows = rows.withColumns({"end_lsn": F.lit(1).cast("long"), "seq": F.monotonically_increasing_id()})
+    rows.write.parquet(folder)
+    monkeypatch.setattr(type(rows), "persist", lambda *_: pytest.fail("persisted"))
+    m.redeliver(folder)
+    assert [r["value"] for r in catalog.read("t").orderBy("record_offset").collect()] == [str(i) for i in range(40) if i != 7]
+    assert m.dead_letters().count() == 1
