@@ -67,7 +67,8 @@ def read_log(log: DataFrame, parts: DataFrame, aborted: DataFrame, open_txns: Da
         rows = rows.where(F.col("record_offset") >= from_offset)  # reaches the scan; the range below is the rule
     if to_offset is not None:
         rows = rows.where(F.col("record_offset") < to_offset)
-    rows = rows.join(ranges, _PLACE).where("record_offset >= lo and record_offset < hi").drop("lo", "hi")
+    # broadcast: a row per partition; a shuffle by partition would put a whole partition into one task
+    rows = rows.join(F.broadcast(ranges), _PLACE).where("record_offset >= lo and record_offset < hi").drop("lo", "hi")
     rows = visible(rows, aborted, markers) if isolation == "read_committed" else rows.where("not is_control")
     rows = rows.select(*LOG_COLUMNS)
     return rows if max_records is None else rows.orderBy("partition", "record_offset").limit(max_records)
@@ -76,7 +77,7 @@ def read_log(log: DataFrame, parts: DataFrame, aborted: DataFrame, open_txns: Da
 def last_n(log: DataFrame, parts: DataFrame, n: int) -> DataFrame:
     """Records among the last n offsets of each partition: a bounds join, no sort."""
     low = parts.select(*_PLACE, (F.col("next_offset") - n).alias("low"))
-    return log.join(low, _PLACE).where("record_offset >= low").drop("low")
+    return log.join(F.broadcast(low), _PLACE).where("record_offset >= low").drop("low")
 
 
 def partition_offsets(parts: DataFrame, log: DataFrame) -> DataFrame:

@@ -129,6 +129,14 @@ def test_drain_goes_on_after_mending(spark, catalog):
     assert values() == ["1", "2", "1", "2", "bad", "4", "5"] and m.holds() == {}
 
 
+def test_reading_does_not_shuffle_by_partition(spark, catalog):
+    """A topic of one partition would come into one task."""
+    catalog.create_topic("t")
+    catalog.produce("t", spark.createDataFrame([("a", "1", 1)], ROWS), ["n"])
+    plan = catalog.read("t")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_drain_holds_no_changes_in_memory(spark, catalog, monkeypatch):
     """Files of changes are many times smaller than their rows, so a task that caches its files' rows reads far more than its share."""
     catalog.create_topic("t")
