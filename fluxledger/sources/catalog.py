@@ -23,12 +23,14 @@ from ..functions import partition_for
 from ..functions.text import TOPIC_NAME
 from ..operators.configs import check_config
 from .log import find_offsets, read_log
-from .scratch import create_file, delete, file_names, read_file
-from .sink import PAGES, number_rows, record_size, validate_produce
+from .scratch import create_file, delete, file_names, new_folder, read_file
+from .sink import PAGES, fits, number_rows, record_size, validate_produce
 
 _ROW = "key string, value string, timestamp timestamp_ntz, header_keys array<string>, header_values array<string>, place long, produce string, partition int"
 _MARKER = "produce string, partition int, first_offset long, last_offset long, bytes long, max_timestamp timestamp_ntz, leader_epoch int, at long"
 BATCH_RECORDS = 8
+#: Bytes of records that a task of a produce sorts at a time.
+RANGE_BYTES = 1 << 25
 
 
 class ProduceError(ValueError):
@@ -142,23 +144,37 @@ class Catalog:
             "partition": F.col("partition").cast("int") if "partition" in have else part,
         })
         wanted = ["key", "value", "timestamp", "header_keys", "header_values", "partition"]
-        placed, scratch = number_rows(rows.select(*wanted, *[c for c in order if c not in wanted]), ["partition"], order)
-        data = f"{self._folder(topic)}/data/produce={pid}"
-        placed.select(*wanted, "place").repartitionByRange("partition", "place").sortWithinPartitions("partition", "place").write.mode("overwrite").options(**PAGES).partitionBy("partition").parquet(data)
-        delete(spark, scratch)
-        if rows.isEmpty():
-            return done
-        stored = spark.read.schema(_ROW.replace(", produce string", "")).parquet(data).withColumn("bytes", record_size(F.col("key"), F.col("value")))
-        batches = stored.groupBy("partition", F.expr(f"place div {batch_records}").alias("batch")).agg(F.sum("bytes").alias("bytes"), F.count_if(F.col("key").isNull()).alias("null_keys"))
+        landed = new_folder(spark, "landed")
+        rows = rows.select(*wanted, *[c for c in order if c not in wanted], record_size(F.col("key"), F.col("value")).alias("_bytes"))
+        rows.write.parquet(landed)  # partitions are hashed once
+        rows = spark.read.parquet(landed)
+        headers = [F.coalesce(F.octet_length(F.array_join(c, "", "")), F.lit(0)) for c in ("header_keys", "header_values")]
         config = topic["config"]
-        bad = validate_produce(batches, int(config.get("max.message.bytes", 1048588)), "compact" in config.get("cleanup.policy", "delete")).where("error is not null")
-        found = {r["error"]: r["n"] for r in bad.groupBy("error").agg(F.count("*").alias("n")).collect()}
-        outside = stored.where((F.col("partition") < 0) | (F.col("partition") >= topic["partitions"])).count()
-        if found or outside:
-            delete(spark, data)
-            raise ProduceError(", ".join([f"{e}: {n} batches" for e, n in sorted(found.items())] + ([f"UNKNOWN_PARTITION: {outside} records"] if outside else [])))
+        limit, compacted = int(config.get("max.message.bytes", 1048588)), "compact" in config.get("cleanup.policy", "delete")
+        outside = (F.col("partition") < 0) | (F.col("partition") >= topic["partitions"])
+        total, largest, null_keys, outside = rows.agg(F.sum(F.col("_bytes") + headers[0] + headers[1]), F.max("_bytes"), F.count_if(F.col("key").isNull()), F.count_if(outside)).first()
+        if total is None:
+            delete(spark, landed)
+            return done
+        if outside or compacted and null_keys or not fits(batch_records * largest, limit):  # else no batch can be refused
+            slim = rows.select("partition", *[c for c in order if c != "partition"], F.col("_bytes").alias("_size"), F.col("key").isNull().alias("_no_key"))
+            placed, scratch = number_rows(slim, ["partition"], order, ranges=None)
+            batches = placed.groupBy("partition", F.expr(f"place div {batch_records}").alias("batch")).agg(F.sum("_size").alias("bytes"), F.count_if("_no_key").alias("null_keys"))
+            bad = validate_produce(batches, limit, compacted).where("error is not null")
+            found = {r["error"]: r["n"] for r in bad.groupBy("error").agg(F.count("*").alias("n")).collect()}
+            delete(spark, scratch)
+            if found or outside:
+                delete(spark, landed)
+                raise ProduceError(", ".join([f"{e}: {n} batches" for e, n in sorted(found.items())] + ([f"UNKNOWN_PARTITION: {outside} records"] if outside else [])))
+        # ranges by bytes in memory: repetitive values are far smaller in a shuffle, by which Spark would cut them
+        ranges = max(-(-total // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // (RANGE_BYTES // 8))))
+        placed, scratch = number_rows(rows, ["partition"], order, ranges=ranges)
+        delete(spark, landed)
         # a row per partition of this topic reaches the driver
-        mine = stored.groupBy("partition").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("timestamp").cast("string").alias("max_timestamp")).collect()
+        mine = placed.groupBy("partition").agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes"), F.max("timestamp").cast("string").alias("max_timestamp")).collect()
+        data = f"{self._folder(topic)}/data/produce={pid}"
+        placed.select(*wanted, "place").sortWithinPartitions("partition", "place").write.mode("overwrite").options(**PAGES).partitionBy("partition").parquet(data)
+        delete(spark, scratch)
         folder = f"{self._folder(topic)}/markers"
         while True:
             n = len(file_names(spark, folder))
@@ -200,7 +216,7 @@ class Catalog:
         if partition is not None:
             data = data.where(F.col("partition") == partition)
         none = lambda t: F.lit(None).cast(t)
-        rows = data.join(marks.select("produce", "partition", "first_offset", "leader_epoch", F.col("last_offset").alias("last")), ["produce", "partition"])
+        rows = data.join(F.broadcast(marks.select("produce", "partition", "first_offset", "leader_epoch", F.col("last_offset").alias("last"))), ["produce", "partition"])
         offset = F.col("first_offset") + F.col("place")
         base = F.col("first_offset") + F.expr(f"place div {BATCH_RECORDS} * {BATCH_RECORDS}")
         return rows.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxledger.operators import configs as cfg
 from fluxledger.sources import Catalog, ProduceError
-from fluxledger.sources.scratch import create_file, new_folder
+from fluxledger.sources.scratch import create_file, file_names, new_folder
 from fluxledger.streaming import ChangeMappings, change_rows
 
 ROWS = "key string, value string, n int"
@@ -149,3 +149,25 @@ def test_drain_holds_no_changes_in_memory(spark, catalog, monkeypatch):
     m.redeliver(folder)
     assert [r["value"] for r in catalog.read("t").orderBy("record_offset").collect()] == [str(i) for i in range(40) if i != 7]
     assert m.dead_letters().count() == 1
+
+
+def test_produce_sorts_bounded_ranges(spark, catalog, monkeypatch):
+    """Repetitive values make many ranges; offsets follow the order over all of them, and a refused produce writes no data."""
+    from fluxledger.sources import catalog as module
+
+    monkeypatch.setattr(module, "RANGE_BYTES", 1 << 14)
+    seen = []
+    monkeypatch.setattr(module, "number_rows", lambda *a, real=module.number_rows, **k: seen.append(k["ranges"]) or real(*a, **k))
+    catalog.create_topic("t", 3, {"max.message.bytes": "20000"})
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.repeat(F.lit("x"), F.lit(1000)).alias("value"), (F.col("id") % 250).alias("n"), "id")
+    catalog.produce("t", rows, ["n", "id"])
+    got = catalog.read("t").select("partition", "record_offset", "key").collect()
+    assert seen[0] >= 1000 * 1061 // (1 << 14) and len(got) == 1000
+    for p in range(3):
+        keys = [int(r["key"]) for r in sorted((r for r in got if r["partition"] == p), key=lambda r: r["record_offset"])]
+        assert keys == sorted(keys, key=lambda k: (k % 250, k)) and sorted(r["record_offset"] for r in got if r["partition"] == p) == list(range(len(keys)))
+    before = file_names(spark, f"{catalog.root}/topic=0/data")
+    monkeypatch.setattr(module, "delete", lambda *_: None)
+    with pytest.raises(ProduceError, match="MESSAGE_TOO_LARGE"):
+        catalog.produce("t", rows.withColumn("value", F.repeat("value", F.lit(3))), ["n", "id"])
+    assert file_names(spark, f"{catalog.root}/topic=0/data") == before
