@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fluxledger.operators import configs as cfg
+from fluxledger.operators import isolation as iso
 from fluxledger.sources import Catalog, ProduceError
 from fluxledger.sources.scratch import create_file, file_names, new_folder
 from fluxledger.streaming import ChangeMappings, change_rows
@@ -171,3 +172,16 @@ def test_produce_sorts_bounded_ranges(spark, catalog, monkeypatch):
     with pytest.raises(ProduceError, match="MESSAGE_TOO_LARGE"):
         catalog.produce("t", rows.withColumn("value", F.repeat("value", F.lit(3))), ["n", "id"])
     assert file_names(spark, f"{catalog.root}/topic=0/data") == before
+
+
+def test_aborted_spans_by_bins(spark, monkeypatch):
+    """Spans over many bins, in one bin and at their borders, against every pair of batch and span; a batch looks at its own bin only."""
+    monkeypatch.setattr(iso, "BIN", 16)
+    batches = [(1, p, pid, b, b + 7 - b % 3, b % 5 != 0, False) for p in (0, 1) for pid in (1, 2, None) for b in range(0, 400, 8)]
+    spans = [(1, p, pid, f, f + n) for p, pid, f, n in ((0, 1, 3, 100), (0, 1, 120, 0), (0, 1, 143, 1), (0, 1, 160, 16), (0, 2, 16, 300), (0, 2, 40, 2), (1, 1, 390, 900), (1, 2, -5, 4), (1, 2, 79, 1))]
+    log = spark.createDataFrame(batches, "topic_id int, partition int, producer_id long, base_offset long, last_offset long, is_transactional boolean, is_control boolean")
+    aborted = spark.createDataFrame(spans, "topic_id int, partition int, producer_id long, first_offset long, marker_offset long")
+    shown = iso.visible(log, aborted)
+    left = [b for b in batches if not (b[5] and any(s[1:3] == b[1:3] and s[3] <= b[4] and s[4] >= b[3] for s in spans))]
+    assert sorted(map(tuple, shown.collect()), key=repr) == sorted(left, key=repr) and 0 < len(left) < len(batches)
+    assert iso._abort_bins(log, aborted).groupBy("partition", "producer_id", "bin").count().agg(F.max("count")).first()[0] <= 4
