@@ -121,6 +121,36 @@ def test_suffix_dedup(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_kept_text(spark, tmp_path):
+    """What is left can be read as text: planted passages are gone, other texts unchanged, cut characters marked, equal rows and null ids each there."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(3, 9))) for _ in range(5000)]
+    long, short = (" ".join(rnd.choices(words, k=n)) for n in (70, 51))
+    long += " " * (400 - len(long))
+    assert len(short) < 400 <= len(long)
+    clean = "été " + " ".join(rnd.choices(words, k=200))
+    # the shared bytes end inside a character: 0xC3 begins both
+    rows = [(1, "eins " + long + "é"), (2, long + "è zwei"), (3, "drei " + short), (4, short + " vier"), (5, clean), (6, None), (7, ""), (8, "x" * 500), (8, "x" * 500), (None, "null " + " ".join(rnd.choices(words, k=90)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = suffix_dedup.op4_suffix_dedup(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = out.collect()
+    want = {**dict(rows), 1: "eins \ufffd", 2: "\ufffd zwei", 6: "", 8: ""}
+    assert sorted((r["doc_id"] or 0, r["kept_text"]) for r in got) == sorted((i or 0, want[i]) for i, _ in rows)
+    for r in got:
+        if "\ufffd" not in r["kept_text"]:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+            assert len(r["kept_text"].encode()) == r["n_bytes"] - r["n_removed"]
+
+
+def test_suffix_dedup_unmarked_text():
+    """A text that only the bitmap lets through has no runs and is left whole."""
+    runs = pa.array([None, [{"lo": 1, "hi": 2}]], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["abcdef", "abcdef"]), runs], ["id", "text", "runs"])
+    (out,) = suffix_dedup._cut(3, True)([batch])
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in out.to_pylist()] == [(6, 0, 0, b"abcdef"), (6, 4, 1, b"af")]
+
+
 def test_longest_previous_factors():
     """Suffix order, previous and next smaller places against a direct search, over several texts of few letters."""
     rnd = random.Random(11)
