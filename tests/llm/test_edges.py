@@ -121,6 +121,35 @@ def test_suffix_dedup(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_periodic_texts(spark):
+    """Equal runs side by side are one row, and still give what a search over all strings gives."""
+    rnd = random.Random(9)
+    noise = ["".join(rnd.choices("abcdefgh", k=k)) for k in (30, 45, 60)]
+    texts = ["z" * 500, noise[0] + "z" * 300 + noise[1], "ha " * 90 + noise[2], noise[1] + "ha " * 20, "y" * 25, "abcdefghij" * 30, noise[0] + "abcdefghij" * 4, "ha " * 90 + noise[2]]
+    min_len, gram = 20, 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["id", "rk", "th", "text"])
+    found = [r for out in suffix_dedup._anchor_rows(min_len, gram)([batch]) for r in out.to_pylist()]
+    # 481 runs of one window each
+    assert sum(r["id"] == 0 for r in found) == 1
+    assert [(r["lo"], r["hi"], r["more"]) for r in found if r["id"] == 0] == [(0, 0, 480)]
+    for i, text in enumerate(texts):
+        assert sum((r["more"] + 1) * (r["hi"] - r["lo"] + 1) for r in found if r["id"] == i) == len(text) - min_len + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = [(i, a) for i, t in enumerate(texts) for a in range(len(t) - min_len + 1)]
+    groups: dict[str, list] = {}
+    for i, a in places:
+        groups.setdefault(texts[i][a : a + min_len], []).append((i, a))
+    for keep in ("none", "first"):
+        want = {i: bytearray(len(t)) for i, t in enumerate(texts)}
+        for same in groups.values():
+            for i, a in same[1:] if keep == "first" else same if len(same) > 1 else []:
+                want[i][a : a + min_len] = b"\1" * min_len
+        left = {i: bytes(c for c, g in zip(texts[i].encode(), gone) if not g) for i, gone in want.items()}
+        for crowd in (1, 4096):
+            got = {r["id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs, min_len=min_len, gram=gram, keep=keep, with_bytes=True, task_contexts=crowd).collect()}
+            assert got == {i: (sum(want[i]), left[i]) for i in left}
+
+
 def test_suffix_dedup_kept_text(spark, tmp_path):
     """What is left can be read as text: planted passages are gone, other texts unchanged, cut characters marked, equal rows and null ids each there."""
     rnd = random.Random(5)
