@@ -132,11 +132,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.select("id", "th", "size", width.alias("width"), _starts(F.col("places"), need, width, F.col("n")).alias("starts"))
     found = written(found.where(F.size("starts") > 0), "bench-starts")
 
-    known = found.where(F.size("starts") > 0).select(F.col("id").alias("f_id"), F.col("th").alias("f_th"), "size", "width", "starts")
-    near = texts.join(known, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).select("id", "th", words(F.col("text")).alias("w"), "size", "width", "starts")
-    near = near.dropDuplicates(["id", "th", "size"])
-    laid = near.select("id", "size", "width", "w", F.explode("starts").alias("start"))
-    windows = laid.select("id", "size", "start", _shingles(F.slice("w", F.col("start") + 1, F.col("width") + k - 1), k).alias("wh"))
+    # a text is shuffled and sorted once, as text, and hashed once; the id is compared besides the join key, so that grouping by the key needs no second shuffle
+    known = found.where(F.size("starts") > 0).select(F.xxhash64("id", "th").alias("f_key"), F.col("id").alias("f_id"), "size", "width", "starts")
+    same = (F.col("key") == F.col("f_key")) & ((F.col("id") <= F.col("f_id")) & (F.col("id") >= F.col("f_id")) | (F.col("id").isNull() & F.col("f_id").isNull()))
+    near = texts.select(F.xxhash64("id", "th").alias("key"), "id", "text").join(known, same, "left_semi").dropDuplicates(["key", "id"])
+    near = near.select("key", "id", words(F.col("text")).alias("w")).select("key", "id", _shingles(F.col("w"), k).alias("h")).join(known, same)
+    laid = near.select("id", "size", "width", "h", F.explode("starts").alias("start"))
+    windows = laid.select("id", "size", "start", F.slice("h", F.col("start") + 1, F.col("width")).alias("wh"))
     with spark_conf(docs.sparkSession, BLOOM):
         windows = written(windows.withColumn("wfp", simhash(F.col("wh"), most)), "bench-windows")
 

@@ -344,6 +344,27 @@ def test_decontamination_between_diagonals(spark):
         assert [(r["id"], r["item"], round(r["similarity"], 9)) for r in got] == [(1, 1, round(best / (180 - best), 9))]
 
 
+def test_decontamination_of_many_item_sizes(spark):
+    """A text that holds items of many sizes goes through shuffles once, as text, not as words once a size."""
+    rnd = random.Random(7)
+    word = lambda: f"x{rnd.getrandbits(40):x}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(20, 50)]
+    text = " ".join(part for _, item in items for part in (*(word() for _ in range(1000)), item))
+    rows = spark.createDataFrame([(1, text), (None, text), (1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sc = spark.sparkContext
+    stages = lambda: {x.stageId(): x.shuffleWriteBytes() for x in _seq(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()))}
+    before = stages()
+    got = decontaminate.contaminated(rows, bench).collect()
+    assert sorted((r["id"] or 0, r["item"], r["similarity"]) for r in got) == [(d, n, 1.0) for d in (0, 1) for n, _ in items]
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < sum(v for k, v in stages().items() if k not in before) < 8 * len(text)
+
+
+def _seq(xs):
+    return [xs.apply(i) for i in range(xs.size())]
+
+
 def test_simhash(spark):
     """Counters side by side against counting bit by bit."""
     rnd = random.Random(2)
