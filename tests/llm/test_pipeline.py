@@ -116,6 +116,23 @@ def test_decontaminated(docs, sf_dir):
     assert got == sorted((r for r in rows() if not leaks(r[1])), key=repr)
 
 
+def test_decontaminated_shuffles_little(spark, tmp_path):
+    """A text that holds items of many sizes goes through shuffles as text, not as words once a size."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"x{rnd.getrandbits(40):x}" for _ in range(n))
+    items = [text(n) for n in range(20, 50)]
+    leaky, clean = " ".join(f"{text(1000)} {i}" for i in items), text(100)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, leaky, "en", "a", len(leaky)), (1, clean, "en", "a", len(clean))]
+    sc = spark.sparkContext
+    found = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    written = lambda: {x.stageId(): x.shuffleWriteBytes() for x in map(found().apply, range(found().size()))}
+    before = written()
+    assert collected(pipe.decontaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))) == [rows[1]]
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < sum(v for k, v in written().items() if k not in before) < 8 * len(leaky)
+
+
 def test_mixture(docs, sf_dir):
     out = pipe.mixture(docs.sparkSession, docs, sf_dir)
     got = [r.asDict() for r in out.collect()]
